@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from .queries import pages
+from .queries import pages, sites
 
-_MODULES = (pages,)
+_MODULES = (pages, sites)
 QUERIES: dict = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict = {k: v for m in _MODULES for k, v in m.ORACLES.items()}

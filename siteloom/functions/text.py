@@ -47,12 +47,20 @@ def stemmed_phrase(text: Column) -> Column:
     return F.array_join(keyword_tokens(text), " ")
 
 
+def let(value: Column, use) -> Column:
+    """``use(x)`` with x bound to a value that is computed once per row, also where ``use`` has lambdas."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def runs_of_words(words_: Column, k: int) -> Column:
+    """All runs of ``k`` elements, joined by blanks; ``words_`` must be a column or lambda variable (see ``let``)."""
+    return F.when(F.size(words_) >= k, F.transform(F.sequence(F.lit(1), F.size(words_) - (k - 1)), lambda i: F.array_join(F.slice(words_, i, k), " "))).otherwise(F.array().cast("array<string>"))
+
+
 def shingles(text: Column, k: int = dims.SHINGLE) -> Column:
     """The different runs of ``k`` words (letters and digits of any script, lower case)."""
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    return F.when(
-        F.size(words) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (k - 1)), lambda i: F.array_join(F.slice(words, i, k), " ")))
-    ).otherwise(F.array().cast("array<string>"))
+    words_ = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return let(words_, lambda w: F.array_distinct(runs_of_words(w, k)))
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -38,9 +38,8 @@ def surface_forms(docs: DataFrame, doc: str, text: Column) -> DataFrame:
 
 def keyphrases(docs: DataFrame, text: Column, least: int = 2) -> DataFrame:
     """``phrase, n``: runs of two or three words that are not stop words, at least ``least`` times."""
-    words = docs.select(X.raw_tokens(text).alias("w"))
-    grams = F.flatten(F.array(*[F.when(F.size("w") >= k, F.transform(F.sequence(F.lit(1), F.size("w") - (k - 1)), lambda i, k=k: F.array_join(F.slice("w", i, k), " "))).otherwise(F.array().cast("array<string>")) for k in (2, 3)]))
-    return words.select(F.explode(grams).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    grams = X.let(X.raw_tokens(text), lambda w: F.concat(X.runs_of_words(w, 2), X.runs_of_words(w, 3)))
+    return docs.select(F.explode(grams).alias("phrase")).groupBy("phrase").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
 
 
 def entity_counts(docs: DataFrame, text: Column, least: int = 1, most: int = 4) -> DataFrame:
