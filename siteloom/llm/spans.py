@@ -19,7 +19,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..plans.lineage import stored
 from ..plans.skew import lookup
@@ -209,30 +208,46 @@ def surroundings(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     return exact.withColumn("here", F.xxhash64("left", "text"))
 
 
+_SHARD = ("anchor", "side", "part", "one", "other")
+_MATCH = "anchor long, here_a long, here_b long, from_a int, from_b int, size int"
+
+
 def _compared(length: int, k: int):
+    """Compares the surroundings of each shard; shards come one after the other in sorted batches."""
     reach = length - k
 
-    def run(key, frame):
-        """Pairs of different surroundings in a shard that share a span of ``length`` over the anchor."""
-        import pandas as pd
-
-        block = frame["block"].to_numpy()
-        two = frame["one"].iloc[0] != frame["other"].iloc[0]
-        texts, lefts, here = frame["text"].tolist(), frame["left"].tolist(), frame["here"].tolist()
-        side = frame["side"].iloc[0]
-        out = []
-        for i, text in enumerate(texts):
+    def shard(key, rows, out):
+        """Pairs of different surroundings that share a span of ``length`` over the anchor."""
+        anchor, side, _, one, other = key
+        for i, (here, left, text, block) in enumerate(rows):
             machine = None
-            for j in range(i + 1, len(texts)):
-                if two and block[i] == block[j]:
+            for here_j, left_j, text_j, block_j in rows[i + 1 :]:
+                if one != other and block == block_j:
                     continue
-                if side == 1 and lefts[i] >= reach // 2 and lefts[j] >= reach // 2 and text[lefts[i] - reach // 2 : lefts[i]] == texts[j][lefts[j] - reach // 2 : lefts[j]]:
+                if side == 1 and left >= reach // 2 and left_j >= reach // 2 and text[left - reach // 2 : left] == text_j[left_j - reach // 2 : left_j]:
                     continue  # the shard of what stands before the anchor compares these
                 machine = machine or SuffixAutomaton(text)
-                n, at_j, at_i = machine.longest(texts[j])
+                n, at_j, at_i = machine.longest(text_j)
                 if n >= length:
-                    out.append((here[i], here[j], at_i - n, at_j - n, n))
-        return pd.DataFrame(out, columns=["here_a", "here_b", "from_a", "from_b", "size"]).astype({"here_a": "int64", "here_b": "int64", "from_a": "int32", "from_b": "int32", "size": "int32"})
+                    out.append((anchor, here, here_j, at_i - n, at_j - n, n))
+
+    def run(frames):
+        import itertools
+
+        def rows():
+            for b in frames:
+                yield from zip(zip(*[b.column(c).to_pylist() for c in _SHARD]), zip(*[b.column(c).to_pylist() for c in ("here", "left", "text", "block")]))
+
+        names = ["anchor", "here_a", "here_b", "from_a", "from_b", "size"]
+        types = [pa.int64()] * 3 + [pa.int32()] * 3
+        out: list[tuple] = []
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
+        for key, group in itertools.groupby(rows(), key=lambda r: r[0]):
+            shard(key, [r for _, r in group], out)
+            if len(out) > 50_000:
+                yield batch()
+                out.clear()
+        yield batch()
 
     return run
 
@@ -256,16 +271,8 @@ def shard_matches(around: DataFrame, length: int = LENGTH) -> DataFrame:
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     many = many.withColumn("block", F.pmod(F.xxhash64("here", "anchor"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     many = many.withColumn("one", F.least("block", "with")).withColumn("other", F.greatest("block", "with"))
-    schema = T.StructType([T.StructField("here_a", T.LongType()), T.StructField("here_b", T.LongType()), T.StructField("from_a", T.IntegerType()), T.StructField("from_b", T.IntegerType()), T.StructField("size", T.IntegerType())])
-    keys = ["anchor", "side", "part", "one", "other"]
-    run = _compared(length, k)
-
-    def keyed(key, frame):
-        out = run(key, frame)
-        out.insert(0, "anchor", np.int64(key[0]))
-        return out
-
-    return many.groupBy(*keys).applyInPandas(keyed, T.StructType([T.StructField("anchor", T.LongType()), *schema.fields]))
+    shards = many.select(*_SHARD, "here", "left", "text", "block").repartition(*_SHARD).sortWithinPartitions(*_SHARD, "here")
+    return shards.mapInArrow(_compared(length, k), _MATCH)
 
 
 def sharing_pairs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
