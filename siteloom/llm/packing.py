@@ -85,7 +85,7 @@ def pack(sizes: DataFrame, capacity: int, salts: int = SALTS) -> DataFrame:
     offsets = stored(counts.select("tokens", "salt", before.alias("before"), "n"), "pack-counts")
     histogram = {r.tokens: r.n for r in offsets.groupBy("tokens").agg(F.sum("n").alias("n")).collect()}
     found = spark.sparkContext.broadcast(slots(pack_histogram(histogram, capacity), capacity))
-    ranked = items.join(F.broadcast(offsets.drop("n")), ["tokens", "salt"]).select(
+    ranked = items.join(offsets.drop("n"), ["tokens", "salt"]).select(
         "doc_id", "piece", "tokens", (F.row_number().over(Window.partitionBy("tokens", "salt").orderBy("doc_id", "piece")) - 1 + F.col("before")).alias("rank")
     )
 
