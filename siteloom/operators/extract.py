@@ -323,7 +323,11 @@ def child(facts: DataFrame, name: str) -> DataFrame:
 
 def headings(facts: DataFrame) -> DataFrame:
     """``url, level, pos, text`` of all headings."""
-    levels = F.flatten(F.array(*[F.transform(F.col(f"h{i}"), lambda t, j, i=i: F.struct(F.lit(i).alias("level"), j.alias("pos"), t.alias("text"))) for i in range(1, 7)]))
+
+    def level(i):
+        return F.transform(F.col(f"h{i}"), lambda t, j: F.struct(F.lit(i).alias("level"), j.alias("pos"), t.alias("text")))
+
+    levels = F.flatten(F.array(*[level(i) for i in range(1, 7)]))
     return facts.select("url", F.explode(levels).alias("h")).select("url", "h.level", "h.pos", "h.text")
 
 

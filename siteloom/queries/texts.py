@@ -42,9 +42,9 @@ def entity_counts(s: SparkSession, d: str) -> DataFrame:
 
 
 def similar_documents(s: SparkSession, d: str) -> DataFrame:
-    """For every document whose id is divisible by 50, its fifteen most similar ones by cosine of 0.08 or more."""
+    """For every document whose id is divisible by 25 (all ids here are odd, so none is by 50), its fifteen most similar ones by cosine of 0.08 or more."""
     w = stored(ir.tfidf(_docs(s, d), "doc_id", F.col("text")), "tfidf")
-    q = _docs(s, d).filter("doc_id % 50 = 0").select(F.col("doc_id").alias("doc"))
+    q = _docs(s, d).filter("doc_id % 25 = 0").select(F.col("doc_id").alias("doc"))
     return ir.cosine_to(w, q, 15, 0.08).select(F.col("query").alias("query_id"), F.col("doc").alias("doc_id"), "cosine")
 
 
@@ -102,7 +102,7 @@ def content_gap(s: SparkSession, d: str) -> DataFrame:
     p = table(s, d, "page_facts").withColumn("site", site_of(F.col("url")))
     two = [r[0] for r in p.groupBy("site").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "site").limit(2).collect()]
     side = lambda name: p.filter(F.col("site") == name).select(F.col("page_id").alias("topic"), F.array_distinct(X.tokens(F.col("title"))).alias("words")).filter(F.size("words") > 0)
-    return topics.content_gap(side(two[-1]), side(two[0]))
+    return topics.content_gap(side(two[-1]), side(two[0])).withColumn("best", F.col("best").cast("string"))
 
 
 def _keywords(s: SparkSession, d: str) -> DataFrame:
@@ -242,7 +242,7 @@ ORACLES = {
     "surface_forms": f"with f as (select unnest({S.raw_tokens('text')}) as form from documents), c as (select form, count(*) as n from f group by 1), s as (select {S.stem('form')} as term, form, n from c) select term, form, n from s qualify row_number() over (partition by term order by n desc, form) = 1",
     "keyphrases": f"with w as (select {S.raw_tokens('text')} as w from documents), g as (select unnest(list_concat(list_transform(range(1, len(w)), lambda i: array_to_string(w[i:i + 1], ' ')), list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')))) as phrase from w) select phrase, count(*) as n from g group by 1 having count(*) >= 3",
     "entity_counts": rf"with e as (select unnest(list_transform(regexp_extract_all(coalesce(text, ''), '{_CAP}(?:\s+{_CAP}){{1,3}}'), lambda e: lower(regexp_replace(e, '\s+', ' ', 'g')))) as entity from documents) select entity, count(*) as n from e group by 1 having count(*) >= 2",
-    "similar_documents": f"with {_TF} select a.doc_id as query_id, b.doc_id, round(sum(a.weight * b.weight), 6) as cosine from wt a join wt b on a.term = b.term and a.doc_id % 50 = 0 and a.doc_id <> b.doc_id group by 1, 2 having sum(a.weight * b.weight) >= 0.08 qualify row_number() over (partition by a.doc_id order by round(sum(a.weight * b.weight), 6) desc, b.doc_id) <= 15",
+    "similar_documents": f"with {_TF} select a.doc_id as query_id, b.doc_id, round(sum(a.weight * b.weight), 6) as cosine from wt a join wt b on a.term = b.term and a.doc_id % 25 = 0 and a.doc_id <> b.doc_id group by 1, 2 having sum(a.weight * b.weight) >= 0.08 qualify row_number() over (partition by a.doc_id order by round(sum(a.weight * b.weight), 6) desc, b.doc_id) <= 15",
     "question_headings": "select lower(text) as text, count(*) as n from headings where contains(text, '?') and length(text) > 8 group by 1",
     "page_types": _TYPES + " select page_id, type, confidence from y",
     "page_type_histogram": _TYPES + " select type, count(*) as pages from y group by type",
@@ -254,7 +254,7 @@ ORACLES = {
  t as (select page_id as topic, w from s join o using (site) where k = 2 and len(w) > 0), u as (select page_id as ours, w as ow from s join o using (site) where k = 1 and len(w) > 0),
  p as (select topic, ours, round(len(list_intersect(w, ow)) / (len(w) + len(ow) - len(list_intersect(w, ow))), 6) as similarity from t join u on list_has_any(w, ow)),
  b as (select * from p qualify row_number() over (partition by topic order by similarity desc, ours) = 1)
- select t.topic, case when coalesce(similarity, 0) >= {dims.GAP_JACCARD} then ours end as best, coalesce(similarity, 0) as similarity, case when coalesce(similarity, 0) < {dims.GAP_JACCARD} then 'missing' else 'covered' end as kind from t left join b using (topic)""",
+ select t.topic, case when coalesce(similarity, 0) >= {dims.GAP_JACCARD} then cast(ours as varchar) end as best, coalesce(similarity, 0) as similarity, case when coalesce(similarity, 0) < {dims.GAP_JACCARD} then 'missing' else 'covered' end as kind from t left join b using (topic)""",
     "keyword_intents": f"with {_KW}, c as (select case when regexp_matches({_KN}, '(^| )({dims.INFORMATIONAL})( |$)') then 'informational' when regexp_matches({_KN}, '(^| )({dims.TRANSACTIONAL})( |$)') then 'transactional' else 'general' end as intent, {_LOCAL} as local from k where keyword is not null) select intent, count(*) as keywords, count(*) filter (local) as local from c group by intent",
     "keyword_slugs": f"with {_KW} select keyword, '/' || replace({_KN}, ' ', '-') as slug, {_LOCAL} as local from k",
     "keyword_profiles": f"with {_FIELDS} select token, count(*) as pages, cast(sum(weight) as bigint) as weight from pf group by token",

@@ -12,8 +12,13 @@ def window_counts(events: DataFrame, width: str = "1 hour") -> DataFrame:
 
 
 def stream_window_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """The same over a stream; events later than ``late`` behind the newest are dropped by the watermark."""
-    return window_counts(events.withWatermark("ts", late), width)
+    """The same over a stream; events later than ``late`` behind the newest are dropped by the watermark.
+
+    Watermarks need instants: times without a zone are read in the session's zone, and written back without one.
+    """
+    plain = dict(events.dtypes)["ts"] == "timestamp_ntz"
+    counts = window_counts(events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late), width)
+    return counts.withColumn("start", F.col("start").cast("timestamp_ntz")) if plain else counts
 
 
 def session_counts(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
