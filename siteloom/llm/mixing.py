@@ -43,6 +43,12 @@ def flight(p: np.ndarray, size: np.ndarray, seed: int) -> np.ndarray:
         while len(hand) < 3 and at < len(waiting):
             hand.append(waiting[at])
             at += 1
+    if len(hand) == 2 and size[hand[0]] == size[hand[1]]:  # of equal size, one more can be settled
+        i, j = hand
+        whole = p[i] + p[j]
+        low, high = max(0.0, whole - 1), min(1.0, whole)
+        p[i] = high if rng.random() * (high - low) < p[i] - low else low
+        p[j] = whole - p[i]
     return np.where(p < _EDGE, 0.0, np.where(p > 1 - _EDGE, 1.0, p))
 
 

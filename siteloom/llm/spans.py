@@ -56,6 +56,17 @@ class Anchors:
         out ^= out >> np.uint64(29)
         return out
 
+    def _places(self, h: np.ndarray, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Position of the least hash of the windows that begin at ``at``, the last if there are several."""
+        w = self.w
+        place = at + w - 1
+        rest = np.flatnonzero(h[place] != value)
+        for s in range(0, len(rest), 1 << 15):
+            r = rest[s : s + (1 << 15)]
+            window = h[(at[r] + w - 1)[:, None] - np.arange(w)[None, :]]
+            place[r] = at[r] + w - 1 - window.argmin(1)
+        return place
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row of the text, position of the anchor, hash), each anchor once."""
         w, k = self.w, self.k
@@ -73,21 +84,27 @@ class Anchors:
         behind = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
         least = np.minimum(behind[:m], ahead[w - 1 : w - 1 + m])
         # window starts that lie in one text, where the least hash is another than one place before
-        row_of = np.repeat(np.arange(len(lengths)), np.maximum(lengths - self.length + 1, 0))
-        first = np.repeat(start[:-1] - np.concatenate([[0], np.cumsum(np.maximum(lengths - self.length + 1, 0))[:-1]]), np.maximum(lengths - self.length + 1, 0))
-        at = np.arange(len(row_of)) + first
+        count = np.maximum(lengths - self.length + 1, 0)
+        row_of = np.repeat(np.arange(len(lengths)), count)
+        at = np.arange(len(row_of)) + np.repeat(start[:-1] - np.concatenate([[0], np.cumsum(count)[:-1]]), count)
         value = least[at]
         new = np.ones(len(at), bool)
         new[1:] = (value[1:] != value[:-1]) | (row_of[1:] != row_of[:-1])
+        begins = np.flatnonzero(new)
+        last = at[np.concatenate([begins[1:], [len(at)]]) - 1] if len(begins) else at[:0]
         at, row_of, value = at[new], row_of[new], value[new]
-        place = np.empty(len(at), np.int64)
-        last = h[at + w - 1] == value
-        place[last] = at[last] + w - 1
-        rest = np.flatnonzero(~last)
-        for s in range(0, len(rest), 1 << 15):
-            r = rest[s : s + (1 << 15)]
-            window = h[at[r][:, None] + np.arange(w)[None, :]]
-            place[r] = at[r] + window.argmin(1)
+        place = self._places(h, at, value)
+        # in periodic text the same least hash goes on behind the anchor: take its further occurrences, too
+        parts = [(row_of, place, value)]
+        more = place < last
+        while more.any():
+            row_of, value, last, at = row_of[more], value[more], last[more], place[more] + 1
+            place = self._places(h, at, value)
+            parts.append((row_of, place, value))
+            more = place < last
+        row_of, place, value = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        order = np.lexsort((place, row_of))
+        row_of, place, value = row_of[order], place[order], value[order]
         return row_of, place - start[row_of], value.view(np.int64)
 
 
