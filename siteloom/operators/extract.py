@@ -297,6 +297,69 @@ def parse(html: str | None, url: str | None) -> dict:
         return {**_Page(url or "").facts(""), "parse_error": f"{type(e).__name__}: {e}"[:200]}
 
 
+_SKIPPED = frozenset("nav footer header form aside".split())
+
+
+class _Region(HTMLParser):
+    """Text of the content region: of main, else of article, else of the body, without navigation, forms and asides."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.stack, self.parts, self.heads = [], {"main": [], "article": [], "body": []}, []
+
+    def handle_starttag(self, tag, attrs):
+        if tag in _BLOCK:
+            self.handle_data("\n")
+        if tag in _HEADINGS:
+            self.heads.append([])
+        if tag not in _VOID:
+            self.stack.append(tag)
+
+    def handle_endtag(self, tag):
+        if tag in self.stack:
+            while self.stack and self.stack.pop() != tag:
+                pass
+        if tag in _BLOCK:
+            self.handle_data("\n")
+
+    def handle_data(self, data):
+        if any(t in _HIDDEN or t in _SKIPPED or t == "head" for t in self.stack):
+            return
+        for region in self.parts:
+            if region == "body" or region in self.stack:
+                self.parts[region].append(data)
+        if self.heads and any(t in _HEADINGS for t in self.stack):
+            self.heads[-1].append(data)
+
+
+def content(html: str | None) -> tuple[str, list[str]]:
+    """(text of the content region, its headings of more than three characters)."""
+    p = _Region()
+    try:
+        p.feed(html or "")
+        p.close()
+    except Exception:  # noqa: BLE001 - what was read so far is the text
+        pass
+    for region in ("main", "article", "body"):
+        text = "\n".join(x for x in (_one(line) for line in "".join(p.parts[region]).split("\n")) if x)
+        if text:
+            break
+    return text, [h for h in (_one("".join(x)) for x in p.heads) if len(h) > 3]
+
+
+def page_content(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """``url, text, headings`` of the content region of each page: the light extraction for reference texts."""
+
+    def run(frames):
+        import pandas as pd
+
+        for f in frames:
+            got = [content(h) for h in f["html"]]
+            yield pd.DataFrame({"url": f["url"], "text": [t for t, _ in got], "headings": [h for _, h in got]})
+
+    return pages.select(F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).mapInPandas(run, "url string, text string, headings array<string>")
+
+
 def page_facts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """``FACTS`` of each row of ``pages``, in one pass."""
     import pyarrow as pa

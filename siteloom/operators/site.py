@@ -137,3 +137,32 @@ def latest(pages: DataFrame, key: list[str], at: str) -> DataFrame:
     """The latest row of each key (ties: the largest page_id)."""
     w = Window.partitionBy(*key).orderBy(F.col(at).desc_nulls_last(), F.col("page_id").desc())
     return pages.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+
+
+def site_issues(pages: DataFrame, links: DataFrame, fetches: DataFrame) -> DataFrame:
+    """``site, rule_id, severity, category, subject``: what the cross-page operators find, as issue rows."""
+    def row(df: DataFrame, rule: str, severity: str, category: str, site_: Column, subject: Column) -> DataFrame:
+        return df.select(site_.alias("site"), F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), F.lit(category).alias("category"), subject.alias("subject"))
+
+    trust = trust_pages(pages, links)
+    flags = domain_flags(fetches)
+    of = lambda c: site_of(F.col(c))
+    parts = [
+        row(duplicate_values(pages, "title", 1), "SITE_DUPLICATE_TITLE", "warning", "meta", F.col("site"), F.col("value")),
+        row(duplicate_values(pages, "meta_description", 1), "SITE_DUPLICATE_DESCRIPTION", "warning", "meta", F.col("site"), F.col("value")),
+        row(orphans(pages, links), "SITE_ORPHAN", "warning", "architecture", of("url"), F.col("url")),
+        row(broken_targets(links, fetches), "SITE_BROKEN_LINK", "error", "links", of("target"), F.col("target")),
+        row(redirect_targets(links, fetches), "SITE_REDIRECTED_LINK", "notice", "links", of("target"), F.col("target")),
+        row(trust.select("site", F.explode(F.filter(F.array(*[F.when(~F.col(k), F.lit(k)) for k in dims.TRUST]), lambda x: x.isNotNull())).alias("kind")), "SITE_NO_TRUST_PAGE", "notice", "usability", F.col("site"), F.col("kind")),
+        row(flags.filter("http_stays"), "SITE_HTTP_STAYS", "error", "security", F.col("site"), F.lit("http")),
+        row(flags.filter("both_hosts"), "SITE_BOTH_HOSTS", "warning", "indexability", F.col("site"), F.lit("www")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def external_status(links: DataFrame, status: DataFrame, sources: int = 5) -> DataFrame:
+    """External targets that answered 400 or more (``status(href, status)``), with up to ``sources`` linking pages."""
+    return external_targets(links, sources).join(status.filter("status >= 400").select("href", "status"), "href")

@@ -182,3 +182,19 @@ def question_headings(headings: DataFrame) -> DataFrame:
 
 def group_terms(docs: DataFrame, grp: Column, doc: str, text: Column) -> DataFrame:
     return docs.select(grp.alias("grp"), F.col(doc).alias("doc"), F.explode(F.array_distinct(X.tokens(text))).alias("term"))
+
+
+def page_analysis(terms: DataFrame, docs: DataFrame, share: float = 0.4) -> DataFrame:
+    """``grp, doc, coverage, missing, extra``: stated pages (``docs(doc)``) against what the group expects, and what only they say."""
+    want = expected_terms(terms, share)
+    lists = want.groupBy("grp").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("want"))
+    mine = terms.join(docs.select("doc"), "doc", "left_semi").groupBy("grp", "doc").agg(F.sort_array(F.collect_set("term")).alias("has"))
+    j = mine.join(lists, "grp", "left").withColumn("want", F.coalesce("want", F.array().cast("array<string>")))
+    cover = F.when(F.size("want") > 0, F.round(F.size(F.array_intersect("want", "has")) * 100 / F.size("want")).cast("long"))
+    return j.select("grp", "doc", cover.alias("coverage"), F.array_except("want", "has").alias("missing"), F.size(F.array_except("has", "want")).alias("extra"))
+
+
+def resolve(keyword: str, topics_: DataFrame, least: float = 0.12) -> DataFrame:
+    """The topic (``topic, words``) whose words are most similar to a keyword's tokens, if similar enough: at most one row."""
+    s = X.jaccard(F.array_distinct(X.tokens(F.lit(keyword))), F.array_distinct("words"))
+    return topics_.select("topic", F.round(s, 6).alias("similarity")).filter(F.col("similarity") >= least).orderBy(F.desc("similarity"), "topic").limit(1)

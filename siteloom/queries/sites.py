@@ -86,6 +86,39 @@ def domain_flags(s: SparkSession, d: str) -> DataFrame:
     return site.domain_flags(table(s, d, "fetches"))
 
 
+def site_issues(s: SparkSession, d: str) -> DataFrame:
+    i = site.site_issues(table(s, d, "page_facts"), table(s, d, "links"), table(s, d, "fetches"))
+    return i.groupBy("site", "rule_id", "severity", "category").agg(F.count("*").alias("n"))
+
+
+def advised_issues(s: SparkSession, d: str) -> DataFrame:
+    from ..operators import crawl, rules
+    from .pages import facts
+
+    i = rules.issues(facts(s, d), ["page_id"])
+    return i.groupBy("rule_id", crawl.advice(F.col("rule_id"), F.col("category")).alias("advice")).agg(F.count("*").alias("n"))
+
+
+def crawl_frontier(s: SparkSession, d: str) -> DataFrame:
+    """What a crawl from the start pages visits, under the robots rules of ``robots_admission``."""
+    from ..operators import crawl
+
+    links = table(s, d, "links").filter("internal")
+    files = links.select(U.origin_of(F.col("href")).alias("origin")).distinct().withColumn("raw", F.lit(ROBOTS))
+    roots = table(s, d, "page_facts").filter("depth = 0").select("url")
+    start = crawl.seeds(table(s, d, "audit_runs").select(F.col("start_url").alias("url")).unionByName(roots))
+    return crawl.expand(start, links, robots.for_agent(robots.rules(files), "another/1.0"))
+
+
+def kept_html_facts(s: SparkSession, d: str) -> DataFrame:
+    """Facts parsed from the bodies that were kept."""
+    from ..operators import extract
+
+    bodies = table(s, d, "fetches").filter("body is not null").groupBy("final_url").agg(F.min("body").alias("html"))
+    f = extract.page_facts(bodies, "final_url", "html")
+    return f.select("url", "title", "title_count", "html_lang", "html_size", F.size(F.split("body_text", "\n")).cast("long").alias("lines"))
+
+
 def near_duplicate_pages(s: SparkSession, d: str) -> DataFrame:
     return similarity.near_duplicates(table(s, d, "page_facts"), "page_id", F.concat_ws(" ", "title", "body_sample")).select(F.col("doc").alias("page_id"), "class_id", "links")
 
@@ -178,7 +211,7 @@ def progress_log(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (duplicate_titles, duplicate_descriptions, link_in_degrees, orphan_pages, broken_targets, redirect_targets, sitemap_not_indexable, pages_outside_sitemap, missing_return_links, redirect_chains, trust_pages, depth_histogram, site_stats, external_targets, domain_flags, near_duplicate_pages, near_duplicate_documents, cannibal_pages, page_rank, weak_pages, bfs_depth, undirected_links, embedding_neighbours, history_projects, history_deltas, history_retained, history_issue_changes, robots_admission, progress_windows, progress_sessions, progress_log)
+    for f in (duplicate_titles, duplicate_descriptions, link_in_degrees, orphan_pages, broken_targets, redirect_targets, sitemap_not_indexable, pages_outside_sitemap, missing_return_links, redirect_chains, trust_pages, depth_histogram, site_stats, external_targets, domain_flags, site_issues, advised_issues, crawl_frontier, kept_html_facts, near_duplicate_pages, near_duplicate_documents, cannibal_pages, page_rank, weak_pages, bfs_depth, undirected_links, embedding_neighbours, history_projects, history_deltas, history_retained, history_issue_changes, robots_admission, progress_windows, progress_sessions, progress_log)
 }
 
 _SITE, _NORM = S.site("url"), S.norm("url")
@@ -237,6 +270,7 @@ ORACLES = {
     "site_stats": f"select {_SITE} as site, count(*) as pages, count(*) filter ({_OK}) as indexable, count(*) filter (status >= 400 or status = 0) as failed, cast(sum(word_count) as bigint) as words, max(depth) as max_depth, count(*) filter (depth >= 4) as deep_pages, round(avg(word_count) filter ({_OK}), 6) as avg_words, cast(sum(internal_link_count) as bigint) as internal_links from page_facts group by 1",
     "external_targets": "select href, count(*) as links, array_to_string(list_sort(list_distinct(list(src_url)))[1:5], '|') as examples from links where not internal and href is not null group by href",
     "domain_flags": f"select {_SITE} as site, coalesce(bool_or(starts_with(lower(url), 'http://') and starts_with(lower(final_url), 'http://') and ok), false) as http_stays, coalesce(bool_or(regexp_matches(lower(final_url), '^https?://www\\.') and ok) and bool_or(not regexp_matches(lower(final_url), '^https?://www\\.') and ok), false) as both_hosts from fetches group by 1",
+    "kept_html_facts": r"with b as (select final_url as url, min(body) as h from fetches where body is not null group by 1) select url, trim(regexp_replace(regexp_extract(h, '<title>([^<]*)</title>', 1), '\s+', ' ', 'g')) as title, len(regexp_extract_all(h, '<title>')) as title_count, nullif(regexp_extract(h, '<html lang=\"([^\"]*)\"', 1), '') as html_lang, length(h) as html_size, len(list_filter(regexp_extract_all(h, '<div>([^<]*)</div>', 1), lambda x: regexp_matches(x, '[^\s\x{00a0}\x{2009}]'))) as lines from b",
     "near_duplicate_pages": _near("page_id", "concat_ws(' ', title, body_sample)", "page_facts"),
     "near_duplicate_documents": _near("doc_id", "text", "documents"),
     "cannibal_pages": f"""with h as (select url, min(row(pos, text))[2] as h1 from headings where level = 1 group by url), t as (select page_id, list_sort(list_distinct(list_filter(string_split({S.clean("concat_ws(' ', title, h1)")}, ' '), lambda t: length(t) > 2 and not list_contains({S.quoted(dims.TITLE_STOP)}, t)))) as items from page_facts left join h using (url) where {_OK}),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import text as X
 from siteloom.functions import urls as U
-from siteloom.operators import content, graph, history, ir, keywords, scoring, similarity, site, topics
+from siteloom.operators import content, crawl, extract, graph, history, ir, keywords, scoring, similarity, site, topics
 from siteloom.plans.skew import lookup
 from siteloom.plans.topk import examples
 from siteloom.sources import exports, robots, sitemaps
@@ -230,3 +230,30 @@ def test_empty_tables(spark):
     assert similarity.near_duplicates(none, "page_id", F.col("body_sample")).count() == 0
     assert site.duplicate_values(none, "title").count() == 0
     assert ir.tfidf(none, "page_id", F.col("title")).count() == 0
+
+
+def test_crawl(spark):
+    links = spark.createDataFrame([("https://a.example/", "https://a.example/b?utm_source=q"), ("https://a.example/b", "https://a.example/p/1"), ("https://a.example/b", "https://a.example/c#x"), ("https://a.example/c", "https://z.example/"), ("https://a.example/c", "https://a.example/")], "src_url string, href string")
+    start = crawl.seeds(spark.createDataFrame([("https://a.example/",)], "url string"), spark.createDataFrame([("https://a.example/s",), ("https://a.example/",)], "url string"))
+    rules = robots.for_agent(robots.rules(spark.createDataFrame([("https://a.example", "User-agent: *\nDisallow: /p/")], "origin string, raw string")), "x")
+    got = {(r.url, r.depth) for r in crawl.expand(start, links, rules).collect()}
+    assert got == {("https://a.example/", 0), ("https://a.example/s", 1), ("https://a.example/b", 1), ("https://a.example/c", 2)}
+    assert crawl.expand(start, links, most=2).count() == 2
+    a = spark.createDataFrame([("META_NO_TITLE", "meta"), ("X", "url"), ("Y", "none")], "r string, c string").select(crawl.advice(F.col("r"), F.col("c")).alias("a"))
+    assert [r.a for r in a.collect()] == [crawl.RULE_ADVICE["META_NO_TITLE"], crawl.CATEGORY_ADVICE["url"], "Check the page."]
+
+
+def test_content_region(spark):
+    html = "<body><nav>menu</nav><main><h2>Long title</h2><p>text<form>f</form> more</p><h3>no</h3></main><footer>foot</footer></body>"
+    text, heads = extract.content(html)
+    assert text == "Long title\ntext\nmore\nno" and heads == ["Long title"]
+    assert extract.content(None) == ("", []) and extract.content("<p>only body")[0] == "only body"
+    assert extract.page_content(spark.createDataFrame([("u", html), ("v", None)], "url string, html string")).count() == 2
+
+
+def test_analysis(spark):
+    terms = spark.createDataFrame([("g", d, t) for d, ts in ((1, "ab"), (2, "abc"), (3, "ax")) for t in ts], "grp string, doc long, term string")
+    r = topics.page_analysis(terms, spark.createDataFrame([(3,)], "doc long")).first()
+    assert (r.coverage, r.missing, r.extra) == (50, ["b"], 1)
+    t = spark.createDataFrame([("t1", ["namiot", "plecak"]), ("t2", ["rower"])], "topic string, words array<string>")
+    assert topics.resolve("namiot i plecaki", t).first().topic == "t1" and topics.resolve("zegar", t).count() == 0
