@@ -299,7 +299,11 @@ def sharing_pairs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     around = stored(surroundings(documents, length), "surroundings")
     same = around.filter(F.length("text") >= length).select("anchor", "here", "doc").distinct()
-    several = same.groupBy("anchor", "here").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b").select("anchor", "here")
+    # copies of a long text meet at each of its anchors: of the groups with the same documents one is enough
+    group = same.groupBy("anchor", "here").agg(
+        F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")
+    )
+    several = group.filter("a < b").groupBy("a", "b", "n", "x", "y").agg(F.min(F.struct("anchor", "here")).alias("g")).select("g.anchor", "g.here")
     same = same.join(several, ["anchor", "here"], "left_semi")
     alike = same.alias("x").join(same.alias("y"), ["anchor", "here"]).filter("x.doc < y.doc").select(F.col("x.doc").alias("doc_id_a"), F.col("y.doc").alias("doc_id_b"))
     matched = stored(shard_matches(around, length), "shard-matches")
