@@ -29,13 +29,30 @@ def stemmed(token: Column, suffixes: str = dims.TEXT_SUFFIXES) -> Column:
 
 
 def raw_tokens(text: Column, stop: str = dims.TEXT_STOP, least: int = 3) -> Column:
-    """Normalised words of at least ``least`` letters that are not in the stop list."""
-    words = F.array(*[F.lit(w) for w in dict.fromkeys(stop.split())])
-    return F.filter(F.split(normalized(text), " "), lambda t: (F.length(t) >= least) & ~F.array_contains(words, t))
+    """Normalised words of at least ``least`` letters that are not in the stop list.
+
+    Short and stop words are cut out of the whole text by one pattern, so no function is called per word.
+    """
+    gone = "|".join([f"[a-z0-9]{{1,{least - 1}}}", *[w for w in dict.fromkeys(stop.split()) if w.isascii() and len(w) >= least]])
+    kept = F.trim(F.regexp_replace(normalized(text), f"(?<![a-z0-9])(?:{gone})(?![a-z0-9])", ""))
+    return F.when(kept == "", F.array().cast("array<string>")).otherwise(F.split(kept, " +"))
+
+
+def _stem_pattern(suffixes: str) -> tuple[str, str]:
+    """``stemmed`` as a pattern, for use within arrays: alternatives are tried in the order of the list."""
+    endings = suffixes.split()
+    return "^(?=.{5})(?!.*[0-9])(?:" + "|".join(f"(.{{3,}}){s}" for s in endings) + ")$", "".join(f"${i + 1}" for i in range(len(endings)))
 
 
 def tokens(text: Column, stop: str = dims.TEXT_STOP, least: int = 3, suffixes: str = dims.TEXT_SUFFIXES) -> Column:
-    return F.transform(raw_tokens(text, stop, least), lambda t: stemmed(t, suffixes))
+    pattern, kept = _stem_pattern(suffixes)
+    return F.transform(raw_tokens(text, stop, least), lambda t: F.regexp_replace(t, pattern, kept))
+
+
+def token_rows(df, keep: list[Column], text: Column, name: str = "term", stop: str = dims.TEXT_STOP, least: int = 3, suffixes: str = dims.TEXT_SUFFIXES):
+    """``keep`` and one row per token; stemmed after the explode, in generated code."""
+    rows = df.select(*keep, F.explode(raw_tokens(text, stop, least)).alias(name))
+    return rows.withColumn(name, stemmed(F.col(name), suffixes))
 
 
 def keyword_tokens(text: Column) -> Column:

@@ -54,10 +54,12 @@ def upper_median(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def score_texts(docs: DataFrame, grp: Column, doc: str, text: Column, terms: DataFrame, target: DataFrame) -> DataFrame:
     """``grp, doc, coverage, words, score, grade``: 0.7 x share of the group's terms + 0.3 x length against ``target(grp, median)``."""
-    d = docs.select(grp.alias("grp"), F.col(doc).alias("doc"), X.word_count(text).alias("words"), F.array_distinct(X.tokens(text)).alias("t")).filter("grp is not null")
+    d = docs.select(grp.alias("grp"), F.col(doc).alias("doc"), X.word_count(text).alias("words")).filter("grp is not null")
     want = terms.groupBy("grp").agg(F.count("*").alias("wanted"))
-    has = d.select("grp", "doc", F.explode("t").alias("term")).join(terms.select("grp", "term"), ["grp", "term"]).groupBy("grp", "doc").agg(F.count("*").alias("has"))
-    j = d.drop("t").join(want, "grp").join(target, "grp").join(has, ["grp", "doc"], "left")
+    tokens = X.token_rows(docs, [grp.alias("grp"), F.col(doc).alias("doc")], text)
+    # the terms of a group are at most as many as its profile holds, so they are matched before repeats are dropped
+    has = tokens.join(terms.select("grp", "term"), ["grp", "term"]).distinct().groupBy("grp", "doc").agg(F.count("*").alias("has"))
+    j = d.join(want, "grp").join(target, "grp").join(has, ["grp", "doc"], "left")
     cover = F.coalesce("has", F.lit(0)) * 100 / F.col("wanted")
     score = F.round(cover * 0.7 + F.least(F.lit(1.0), F.col("words") / F.greatest("median", F.lit(1))) * 30).cast("long")
     return j.select("grp", "doc", F.round(cover).cast("long").alias("coverage"), "words", score.alias("score")).withColumn("grade", X.grade(F.col("score"), dims.CONTENT_GRADES))

@@ -12,7 +12,7 @@ from ..plans.topk import top
 
 def term_counts(docs: DataFrame, doc: str, text: Column) -> DataFrame:
     """``doc, term, tf``."""
-    return docs.select(F.col(doc).alias("doc"), F.explode(X.tokens(text)).alias("term")).groupBy("doc", "term").agg(F.count("*").alias("tf"))
+    return X.token_rows(docs, [F.col(doc).alias("doc")], text).groupBy("doc", "term").agg(F.count("*").alias("tf"))
 
 
 def tfidf(docs: DataFrame, doc: str, text: Column) -> DataFrame:

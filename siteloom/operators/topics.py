@@ -181,7 +181,7 @@ def question_headings(headings: DataFrame) -> DataFrame:
 
 
 def group_terms(docs: DataFrame, grp: Column, doc: str, text: Column) -> DataFrame:
-    return docs.select(grp.alias("grp"), F.col(doc).alias("doc"), F.explode(F.array_distinct(X.tokens(text))).alias("term"))
+    return X.token_rows(docs, [grp.alias("grp"), F.col(doc).alias("doc")], text).distinct()
 
 
 def page_analysis(terms: DataFrame, docs: DataFrame, share: float = 0.4) -> DataFrame:
