@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..functions import urls as U
 from ..operators import audit, rules, scoring, site
 from ..plans.topk import top
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import sql as S
 
 
@@ -28,7 +28,7 @@ def url_canonical_groups(s: SparkSession, d: str) -> DataFrame:
 
 def page_text_stats(s: SparkSession, d: str) -> DataFrame:
     t = F.col("body_text")
-    return table(s, d, "page_facts").filter(t.isNotNull()).select(
+    return spread(table(s, d, "page_facts")).filter(t.isNotNull()).select(
         "page_id", X.word_count(t).alias("words"), F.size(X.sentences(t)).cast("long").alias("sentences"), X.average_sentence(t).alias("avg_sentence"),
         F.size(F.filter(X.sentences(t), lambda x: F.size(X.words(x)) > 25)).cast("long").alias("long_sentences"), X.readability(t).alias("readability"),
         F.greatest(F.lit(1), F.round(X.word_count(t) / 200)).cast("long").alias("reading_minutes"),
@@ -37,7 +37,7 @@ def page_text_stats(s: SparkSession, d: str) -> DataFrame:
 
 def text_signals(s: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(s, d, "documents").select("doc_id", X.fluff_count(t).alias("fluff"), X.stat_count(t).alias("stats"), F.size(F.array_distinct(F.transform(X.entities(t), lambda e: F.lower(e)))).cast("long").alias("entities"))
+    return spread(table(s, d, "documents")).select("doc_id", X.fluff_count(t).alias("fluff"), X.stat_count(t).alias("stats"), F.size(F.array_distinct(F.transform(X.entities(t), lambda e: F.lower(e)))).cast("long").alias("entities"))
 
 
 def heading_profile(s: SparkSession, d: str) -> DataFrame:

@@ -10,7 +10,7 @@ from ..functions import urls as U
 from ..operators import graph, history, similarity, site
 from ..plans.topk import top
 from ..sources import robots
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from ..streaming import progress
 from . import sql as S
 
@@ -120,11 +120,11 @@ def kept_html_facts(s: SparkSession, d: str) -> DataFrame:
 
 
 def near_duplicate_pages(s: SparkSession, d: str) -> DataFrame:
-    return similarity.near_duplicates(table(s, d, "page_facts"), "page_id", F.concat_ws(" ", "title", "body_sample")).select(F.col("doc").alias("page_id"), "class_id", "links")
+    return similarity.near_duplicates(spread(table(s, d, "page_facts")), "page_id", F.concat_ws(" ", "title", "body_sample")).select(F.col("doc").alias("page_id"), "class_id", "links")
 
 
 def near_duplicate_documents(s: SparkSession, d: str) -> DataFrame:
-    return similarity.near_duplicates(table(s, d, "documents"), "doc_id", F.col("text")).select(F.col("doc").alias("doc_id"), "class_id", "links")
+    return similarity.near_duplicates(spread(table(s, d, "documents")), "doc_id", F.col("text")).select(F.col("doc").alias("doc_id"), "class_id", "links")
 
 
 def _headed(s: SparkSession, d: str) -> DataFrame:

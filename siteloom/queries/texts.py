@@ -11,12 +11,12 @@ from ..functions.urls import site_of
 from ..operators import content, ir, keywords, site, topics
 from ..plans.lineage import stored
 from ..plans.topk import top
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from . import sql as S
 
 
 def _docs(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "documents")
+    return spread(table(s, d, "documents"))
 
 
 def term_weights(s: SparkSession, d: str) -> DataFrame:
@@ -68,7 +68,7 @@ def page_type_histogram(s: SparkSession, d: str) -> DataFrame:
 def _topic_parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     h = table(s, d, "headings").groupBy("url").agg(F.array_join(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("level", "pos", "text"))), lambda x: x["text"]), 1, 15), " ").alias("headings"))
     pages = site.indexable(_typed(s, d)).filter(F.col("type").isin("blog", "service", "product", "category", "location", "page")).join(h, "url", "left")
-    docs = stored(topics.topic_documents(pages), "topic-texts")
+    docs = spread(stored(topics.topic_documents(pages), "topic-texts"))
     w = ir.tfidf(docs, "doc", F.col("text")).join(docs.select("doc", "site"), "doc")
     w = stored(w, "topic-weights")
     return pages, w, stored(topics.cluster(w), "topics")
@@ -114,7 +114,7 @@ def _keywords(s: SparkSession, d: str) -> DataFrame:
 
 def _keyword_pages(s: SparkSession, d: str) -> DataFrame:
     hs = table(s, d, "headings").groupBy("url").agg(F.min_by("text", F.struct("level", "pos", "text")).alias("h1"), F.array_join(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("level", "pos", "text"))), lambda x: x["text"]), 1, 15), " ").alias("headings"))
-    return site.indexable(table(s, d, "page_facts")).join(hs, "url", "left")
+    return spread(site.indexable(table(s, d, "page_facts")).join(hs, "url", "left"))
 
 
 def _phrases(s: SparkSession, d: str) -> DataFrame:
