@@ -145,6 +145,21 @@ def test_keywords(spark):
     assert one(spark, keywords.slug(F.lit("Żółte Buty!"))) == "/zolte-buty"
 
 
+def test_keyword_clusters_of_a_long_list(spark):
+    # pairs that share half their tokens but not the rarest one, in a list of more than 5000, with keywords of up to twelve tokens
+    rng = random.Random(3)
+    words = [f"{a}{b}{c}" for a in "bdfgk" for b in "aou" for c in "xzvq"]
+    made = {" ".join(rng.sample(words, n)) for n in (1, 2, 3, 4, 6, 9, 11, 12) for _ in range(8)} | {f"zz{i}qx" for i in range(5000)}
+    k = spark.createDataFrame([(w,) for w in made], "keyword string")
+    seeds, want = [], {}
+    tokens = {r.keyword: set(r.t) for r in k.select("keyword", X.keyword_tokens(F.col("keyword")).alias("t")).collect()}
+    for w in sorted(made):
+        want[w] = next((s for s in seeds if tokens[w] & tokens[s] and len(tokens[w] & tokens[s]) * 2 >= min(len(tokens[w]), len(tokens[s]))), w)
+        if want[w] == w:
+            seeds.append(w)
+    assert {r.keyword: r.cluster for r in keywords.clusters(k).collect()} == want
+
+
 def test_content(spark):
     df = spark.createDataFrame([("g", v) for v in (1, 2, 3, 4)] + [("h", 7)], "k string, v int")
     assert {r.k: r.median for r in content.upper_median(df, ["k"], "v").collect()} == {"g": 3, "h": 7}
