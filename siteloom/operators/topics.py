@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import text as X
 from ..functions.urls import path_of, site_of
-from ..plans.lineage import stored
 from ..plans.topk import top
 
-#: Pages of one cluster task; sites with more are clustered in blocks whose clusters are then clustered.
+#: Documents that a cluster task unpacks at a time; the result does not depend on it.
 CLUSTER_BLOCK = 5000
 
 
@@ -45,48 +44,39 @@ def cluster(weights: DataFrame, least: float = dims.TOPIC_COSINE, block: int = C
 
     ``weights(site, doc, term, weight)``. Documents come in descending order of their number of terms (ties: doc);
     each joins the cluster whose summed vector has the largest dot product with it, if at least ``least``, else opens
-    one. A site of more than ``block`` documents is cut into blocks by hash; the blocks' cluster sums are then clustered
-    the same way, so no task holds more than a block. A topic is named by its first document.
+    one. Each document is held against the sums of all before it, so a site of any size is one task, in this order;
+    ``block`` documents are unpacked at a time. A topic is named by its first document.
     """
-    docs = weights.groupBy("site", "doc").agg(F.collect_list(F.struct("term", "weight")).alias("v"))
-    sizes = docs.groupBy("site").agg(F.count("*").alias("n"))
-    rows = stored(docs.join(sizes, "site").select("site", "doc", F.col("doc").alias("topic"), "v", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / block)).alias("block"), F.size("v").alias("order")), "topic-docs")
+    docs = weights.groupBy("site", "doc").agg(F.sort_array(F.collect_list(F.struct("term", "weight"))).alias("v"))
+    rows = docs.select("site", "doc", F.transform("v", lambda x: x["term"]).alias("terms"), F.transform("v", lambda x: x["weight"]).alias("weights"), F.size("v").alias("order"))
 
     def run(frame):
         import pandas as pd
 
-        frame = frame.assign(m=-frame["order"]).sort_values(["m", "topic"], kind="stable")
+        frame = frame.assign(m=-frame["order"]).sort_values(["m", "doc"], kind="stable")
         sums: list[dict] = []
         index: dict[str, set[int]] = {}
         names, put = [], []
-        for name, v in zip(frame["topic"], frame["v"]):
-            vec = {x["term"]: x["weight"] for x in v}
-            dots: dict[int, float] = {}
-            for term, w in vec.items():
-                for c in index.get(term, ()):
-                    dots[c] = dots.get(c, 0.0) + w * sums[c][term]
-            best = max(dots, key=lambda c: (dots[c], -c), default=-1)
-            if best < 0 or dots[best] < least:
-                best = len(sums)
-                sums.append({})
-                names.append(name)
-            for term, w in vec.items():
-                if term not in sums[best]:
-                    index.setdefault(term, set()).add(best)
-                sums[best][term] = sums[best].get(term, 0.0) + w
-            put.append(best)
-        return pd.DataFrame({"site": frame["site"].iloc[0], "topic": frame["topic"].to_numpy(), "into": [names[c] for c in put]})
-
-    joined = rows.groupBy("site", "block").applyInPandas(run, "site string, topic string, into string")
-    members = stored(rows.select("site", "doc", "topic").join(joined, ["site", "topic"]).select("site", "doc", F.col("into").alias("topic")), "topic-members")
-    large = sizes.filter(F.col("n") > block).select("site")
-    if large.isEmpty():
-        return members
-    # sums of the blocks' clusters, clustered again; a block's clusters are fewer than its documents
-    sums = weights.join(F.broadcast(large), "site", "left_semi").join(members, ["site", "doc"]).groupBy("site", "topic", "term").agg(F.sum("weight").alias("weight"))
-    again = cluster(sums.select("site", F.col("topic").alias("doc"), "term", "weight"), least, max(block, large.count() and block * 20))
-    merged = members.join(again.select("site", F.col("doc").alias("topic"), F.col("topic").alias("into")), ["site", "topic"], "left")
-    return merged.select("site", "doc", F.coalesce("into", "topic").alias("topic"))
+        for start in range(0, len(frame), block):
+            part = frame.iloc[start : start + block]
+            for name, terms, ws in zip(part["doc"], part["terms"].map(list), part["weights"].map(list)):
+                dots: dict[int, float] = {}
+                for term, w in zip(terms, ws):
+                    for c in index.get(term, ()):
+                        dots[c] = dots.get(c, 0.0) + w * sums[c][term]
+                best = max(dots, key=lambda c: (dots[c], -c), default=-1)
+                if best < 0 or dots[best] < least:
+                    best = len(sums)
+                    sums.append({})
+                    names.append(name)
+                for term, w in zip(terms, ws):
+                    if term not in sums[best]:
+                        index.setdefault(term, set()).add(best)
+                    sums[best][term] = sums[best].get(term, 0.0) + w
+                put.append(best)
+        return pd.DataFrame({"site": frame["site"].iloc[0], "doc": frame["doc"].to_numpy(), "topic": [names[c] for c in put]})
+
+    return rows.groupBy("site").applyInPandas(run, "site string, doc string, topic string")
 
 
 def labels(weights: DataFrame, members: DataFrame, forms: DataFrame) -> DataFrame:

@@ -124,6 +124,23 @@ def test_cluster(spark):
         assert len(m) == 31 and all((m[str(i)] == m[str(j)]) == (i % 3 == j % 3) for i in range(30) for j in range(30))
 
 
+def test_cluster_does_not_depend_on_blocks(spark):
+    rng = random.Random(5)
+    rows = [("s", str(i), t, rng.random()) for i in range(60) for t in rng.sample("abcdefghijklmnopqrst", rng.randint(1, 4))]
+    docs, want, sums = {}, {}, {}
+    for _, d, t, w in rows:
+        docs.setdefault(d, {})[t] = w
+    for d in sorted(docs, key=lambda d: (-len(docs[d]), d)):
+        dots = {c: sum(w * v.get(t, 0.0) for t, w in sorted(docs[d].items())) for c, v in sums.items()}
+        best = max(dots, key=lambda c: dots[c], default=None)
+        want[d] = best if best is not None and dots[best] >= 0.2 else d
+        for t, w in docs[d].items():
+            sums.setdefault(want[d], {})[t] = sums.get(want[d], {}).get(t, 0.0) + w
+    w = spark.createDataFrame(rows, "site string, doc string, term string, weight double")
+    for block in (7, 5000):
+        assert {r.doc: r.topic for r in topics.cluster(w, 0.2, block).collect()} == want
+
+
 def test_topics(spark):
     t = spark.createDataFrame([("s", "a", 1, 100, False, 0.0), ("s", "b", 3, 900, False, 0.2), ("s", "c", 4, 900, True, 0.9)], "site string, topic string, size long, avg_words long, has_pillar boolean, interlink double")
     assert {(r.topic, r.kind) for r in topics.gaps(t).collect()} == {("a", "thin"), ("b", "pillar"), ("b", "interlink")}
