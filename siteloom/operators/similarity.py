@@ -75,6 +75,14 @@ def cannibal_pairs(pages: DataFrame, doc: str, title: Column, h1: Column, least:
     return jaccard_pairs(classes(some, doc, F.col("__t"))[1], least)
 
 
+def cannibal_members(pages: DataFrame, doc: str, title: Column, h1: Column, least: float = dims.CANNIBAL) -> DataFrame:
+    """``doc, class_id, links``: every page that ``cannibal_pairs`` compares; its class, named as there, and to how many other classes that is similar."""
+    some = pages.withColumn("__t", title_tokens(title, h1)).filter(F.size("__t") >= 2)
+    members, sets = classes(some, doc, F.col("__t"))
+    ends = jaccard_pairs(sets, least).select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("links"))
+    return members.join(ends, "class_id", "left").select("doc", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def dense_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
     """``query_id, vec_id, rank, cosine``: exact nearest vectors of a stated query set, in blocks of matrix products.
 

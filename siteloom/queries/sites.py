@@ -137,6 +137,11 @@ def cannibal_pages(s: SparkSession, d: str) -> DataFrame:
     return p.select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
+def cannibal_members(s: SparkSession, d: str) -> DataFrame:
+    """The pages behind the representatives of ``cannibal_pages``: pages of one class_id have equal title and h1 tokens."""
+    return similarity.cannibal_members(_headed(s, d), "page_id", F.col("title"), F.col("h1")).select(F.col("doc").alias("page_id"), "class_id", "links")
+
+
 def page_rank(s: SparkSession, d: str) -> DataFrame:
     nodes = site.indexable(table(s, d, "page_facts")).select(U.site_of(F.col("url")).alias("site"), U.url_norm(F.col("url")).alias("node"))
     r = graph.page_rank(nodes, _edges(s, d))
@@ -211,7 +216,7 @@ def progress_log(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (duplicate_titles, duplicate_descriptions, link_in_degrees, orphan_pages, broken_targets, redirect_targets, sitemap_not_indexable, pages_outside_sitemap, missing_return_links, redirect_chains, trust_pages, depth_histogram, site_stats, external_targets, domain_flags, site_issues, advised_issues, crawl_frontier, kept_html_facts, near_duplicate_pages, near_duplicate_documents, cannibal_pages, page_rank, weak_pages, bfs_depth, undirected_links, embedding_neighbours, history_projects, history_deltas, history_retained, history_issue_changes, robots_admission, progress_windows, progress_sessions, progress_log)
+    for f in (duplicate_titles, duplicate_descriptions, link_in_degrees, orphan_pages, broken_targets, redirect_targets, sitemap_not_indexable, pages_outside_sitemap, missing_return_links, redirect_chains, trust_pages, depth_histogram, site_stats, external_targets, domain_flags, site_issues, advised_issues, crawl_frontier, kept_html_facts, near_duplicate_pages, near_duplicate_documents, cannibal_pages, cannibal_members, page_rank, weak_pages, bfs_depth, undirected_links, embedding_neighbours, history_projects, history_deltas, history_retained, history_issue_changes, robots_admission, progress_windows, progress_sessions, progress_log)
 }
 
 _SITE, _NORM = S.site("url"), S.norm("url")
@@ -276,6 +281,10 @@ ORACLES = {
     "cannibal_pages": f"""with h as (select url, min(row(pos, text))[2] as h1 from headings where level = 1 group by url), t as (select page_id, list_sort(list_distinct(list_filter(string_split({S.clean("concat_ws(' ', title, h1)")}, ' '), lambda t: length(t) > 2 and not list_contains({S.quoted(dims.TITLE_STOP)}, t)))) as items from page_facts left join h using (url) where {_OK}),
  c as (select min(page_id) as doc, items, len(items) as n from t where len(items) >= 2 group by items), x as (select doc, n, unnest(items) as item from c)
  select a.doc as a, b.doc as b, round(count(*) / (a.n + b.n - count(*)), 6) as similarity from x a join x b on a.item = b.item and a.doc < b.doc group by a.doc, b.doc, a.n, b.n having count(*) >= {dims.CANNIBAL} * (a.n + b.n - count(*))""",
+    "cannibal_members": f"""with h as (select url, min(row(pos, text))[2] as h1 from headings where level = 1 group by url), t as (select page_id, list_sort(list_distinct(list_filter(string_split({S.clean("concat_ws(' ', title, h1)")}, ' '), lambda t: length(t) > 2 and not list_contains({S.quoted(dims.TITLE_STOP)}, t)))) as items from page_facts left join h using (url) where {_OK}),
+ m as (select page_id, items, min(page_id) over (partition by items) as class_id from t where len(items) >= 2), c as (select page_id as doc, items, len(items) as n from m where page_id = class_id), x as (select doc, n, unnest(items) as item from c),
+ p as (select a.doc as a, b.doc as b from x a join x b on a.item = b.item and a.doc < b.doc group by a.doc, b.doc, a.n, b.n having count(*) >= {dims.CANNIBAL} * (a.n + b.n - count(*))), l as (select doc, count(*) as links from (select a as doc from p union all select b from p) group by doc)
+ select page_id, class_id, coalesce(links, 0) as links from m left join l on l.doc = class_id""",
     "page_rank": f"with {_RANK} select site, node, round(rank, 9) as rank from r{dims.PAGERANK_ROUNDS}",
     "bfs_depth": f"with recursive {_E}, s as (select {S.norm('start_url')} as node from audit_runs union select {_NORM} from page_facts where depth = 0), b(node, depth) as (select distinct node, 0 from s union select e.dst, b.depth + 1 from b join e on e.src = b.node where b.depth < 12) select node, cast(min(depth) as bigint) as depth from b group by node",
     "undirected_links": f"with l as (select {S.site('src_url')} as src, {S.site('href')} as dst from links) select least(src, dst) as a, greatest(src, dst) as b, count(*) as weight from l where src <> dst group by 1, 2",

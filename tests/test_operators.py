@@ -141,6 +141,12 @@ def test_cluster_does_not_depend_on_blocks(spark):
         assert {r.doc: r.topic for r in topics.cluster(w, 0.2, block).collect()} == want
 
 
+def test_cannibal_members(spark):
+    pages = spark.createDataFrame([(1, "Winter tent guide", None), (2, "Guide: winter tent", None), (3, "Winter tent guide books", None), (4, "Lamp", None), (5, "Oak table", "Oak table")], "page_id long, title string, h1 string")
+    got = {tuple(r) for r in similarity.cannibal_members(pages, "page_id", F.col("title"), F.col("h1")).collect()}
+    assert got == {(1, 1, 1), (2, 1, 1), (3, 3, 1), (5, 5, 0)}
+
+
 def test_topics(spark):
     t = spark.createDataFrame([("s", "a", 1, 100, False, 0.0), ("s", "b", 3, 900, False, 0.2), ("s", "c", 4, 900, True, 0.9)], "site string, topic string, size long, avg_words long, has_pillar boolean, interlink double")
     assert {(r.topic, r.kind) for r in topics.gaps(t).collect()} == {("a", "thin"), ("b", "pillar"), ("b", "interlink")}
