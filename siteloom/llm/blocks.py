@@ -304,18 +304,35 @@ def block_features(pages: DataFrame, links: DataFrame, text: str = "body_text")
     return classified(pages, links, text, _features, "page_id long, line_no long, line string, " + ", ".join(f"{c} double" for c in FEATURES), tree=dummy)
 
 
-def boilerplate_lines(pages: DataFrame, links: DataFrame, text: str = "body_text", tree: Tree | None = None) -> DataFrame:
+def heads(b, k, at: np.ndarray, size: int) -> np.ndarray:
+    """Which of the lines ``at`` begin within the first ``size`` characters of their text."""
+    L = k.lines
+    length = pc.utf8_length(L.raw).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    before = np.cumsum(length) - length
+    return (before - before[np.minimum(L.first[L.page], max(len(before) - 1, 0))])[at] < size
+
+
+def boilerplate_lines(pages: DataFrame, links: DataFrame, text: str = "body_text", tree: Tree | None = None, head: int | None = None) -> DataFrame:
     """``page_id, line_no`` of each non-blank line that is not the page's own content.
 
-    Null or empty texts give no rows; pages with a null or hostless URL count as one site; extra columns are ignored.
+    With ``head``, pages whose first ``head`` characters are template residue or a keyword or link list are left out: nothing on
+    them is content. Null or empty texts give no rows; pages with a null or hostless URL count as one site; extra columns are ignored.
     """
 
     def emit(b, k, own, x, at):
+        from .residue import excluded
+
         L = k.lines
-        other = np.flatnonzero(~L.blank & ~own)
+        other = ~L.blank & ~own
+        if head:
+            first = heads(b, k, at, head)
+            other &= ~(excluded(b, k, own, x[first], at[first]) & b.column("sampled").to_numpy(zero_copy_only=False))[L.page]
+        other = np.flatnonzero(other)
         yield pa.RecordBatch.from_arrays([pa.array(b.column("row_id").to_numpy(zero_copy_only=False)[L.page[other]]), pa.array(L.no[other], pa.int64())], names=["page_id", "line_no"])
 
-    return classified(pages, links, text, emit, "page_id long, line_no long", tree=tree)
+    sampled = (F.length("body_sample") > 0) if "body_sample" in pages.columns else F.lit(True)
+    pages = pages.withColumn("sampled", F.coalesce(sampled, F.lit(False)))
+    return classified(pages, links, text, emit, "page_id long, line_no long", ("sampled",), tree=tree)
 
 
 def main_text(pages: DataFrame, links: DataFrame, text: str = "body_text", tree: Tree | None = None) -> DataFrame:

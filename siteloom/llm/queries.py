@@ -12,6 +12,10 @@ from ..sources.tables import table
 from . import blocks, language, ledger, mixing, packing, reading, repeated_lines, residue, spans, stuffing, tokens
 
 
+#: Characters of body_text that body_sample holds (fixed value).
+SAMPLE = 1500
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     rows, repeated = ledger.hidden_duplicates(table(spark, d, "page_facts"))
     return ledger.copies_of_first(rows, repeated).select(F.col("row_id_a").alias("page_id_a"), F.col("row_id_b").alias("page_id_b"))
@@ -24,7 +28,7 @@ def p1_records(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return blocks.boilerplate_lines(table(spark, d, "page_facts"), table(spark, d, "links"))
+    return blocks.boilerplate_lines(table(spark, d, "page_facts"), table(spark, d, "links"), head=SAMPLE)
 
 
 def p2_main_text(spark: SparkSession, d: str) -> DataFrame:
@@ -45,12 +49,17 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "page_facts")
-    return language.mislabelled(pages, language.line_languages(pages, language.train_filters(pages)))
+    return language.mislabelled(pages, language.judged_line_languages(pages, table(spark, d, "links"), language.train_filters(pages)))
 
 
 def p4_segments(spark: SparkSession, d: str) -> DataFrame:
     pages = table(spark, d, "page_facts")
-    return language.line_languages(pages, language.train_filters(pages))
+    return language.segments(pages, language.train_filters(pages))
+
+
+def p4_pages(spark: SparkSession, d: str) -> DataFrame:
+    """One language and confidence for every page with text."""
+    return language.text_languages(p4_segments(spark, d))
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +104,7 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_records, p2_found, p2_main_text, p3_found, p3_sequences, p3_cleaned, p4_found, p4_segments, p5_found, p6_found, p7_found, p7_line_states, p8_packing, p9_mixture, p9_shares, p10_found, p10_shared)
+    for f in (p1_found, p1_records, p2_found, p2_main_text, p3_found, p3_sequences, p3_cleaned, p4_found, p4_segments, p4_pages, p5_found, p6_found, p7_found, p7_line_states, p8_packing, p9_mixture, p9_shares, p10_found, p10_shared)
 }
 
 _KEY = r"regexp_replace(lower(upper(nfc_normalize(regexp_replace({}, '[\x{{fe00}}-\x{{fe0f}}]', '', 'g')))), '[^\p{{L}}\p{{N}}\p{{Mn}}\p{{Mc}}]', '', 'g')"

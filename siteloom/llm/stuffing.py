@@ -3,14 +3,13 @@ menu (and data list, which is content); pages whose non-prose words prevail are
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .blocks import FEATURES, classified
+from .lines import Words, count
 from .residue import PSEUDO
 from .words import ALL
 
@@ -40,7 +39,6 @@ MOVE = np.array(
 NON_PROSE = np.array([False, False, True, True, True])
 FLAG_SHARE = 0.6
 FLAG_WORDS = 25
-_WORD = re.compile(r"[^\W\d_]+")
 
 
 def viterbi(signs: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -71,31 +69,37 @@ def viterbi(signs: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def signs_of(line: str, words: float, x: dict[str, float]) -> list[bool]:
-    w = _WORD.findall(line.lower())
-    n = max(len(w), 1)
-    seps = sum(line.count(c) for c in ",;|#·•") + line.count(" - ")
+def signs_of(lines: pa.Array, words: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The signs of each line; ``x`` has the lines' block features."""
+    f = {c: x[:, FEATURES.index(c)] for c in ("link_density", "bullet", "digits")}
+    has = lambda pattern: pc.match_substring_regex(lines, pattern).to_numpy(zero_copy_only=False)
+    w = Words(lines)
+    n = np.maximum(w.per, 1)
+    separators = count(lines, r"[,;|#·•]") + count(lines, " - ")
     # fewer different words than a text of that length has
-    repeats = len(w) >= 8 and len(set(w)) < 0.6 * n**0.9
-    return [
-        words <= 7 and not line.endswith((".", "!", "…")),
-        line.rstrip("\"”»)").endswith((".", "!", "?", "…")) and words > 3,
-        sum(i in ALL for i in w) < 0.12 * n,
-        repeats,
-        seps >= 0.3 * n and seps >= 3,
-        x["link_density"] >= 0.6 or "(/" in line or "http" in line,
-        x["bullet"] > 0,
-        x["digits"] >= 0.25 and words >= 3,
-        line.endswith("?") and words > 2,
-        len(w) >= 10 and not repeats and seps < 0.3 * n,
-    ]
+    repeats = (w.per >= 8) & (w.different() < 0.6 * n**0.9)
+    return np.stack(
+        [
+            (words <= 7) & ~has(r"[.!…]$"),
+            has(r"[.!?…][\"”»)]*$") & (words > 3),
+            w.share_in(ALL) < 0.12,
+            repeats,
+            (separators >= 0.3 * n) & (separators >= 3),
+            (f["link_density"] >= 0.6) | has(r"\(/|http"),
+            f["bullet"] > 0,
+            (f["digits"] >= 0.25) & (words >= 3),
+            has(r"\?$") & (words > 2),
+            (w.per >= 10) & ~repeats & (separators < 0.3 * n),
+        ],
+        1,
+    )
 
 
 def label_lines(pages: DataFrame, links: DataFrame, text: str = "body_sample") -> DataFrame:
     """``page_id, line_no, state``: the state of each non-blank line."""
 
     def emit(b, k, own, x, at):
-        state, _, _ = _states(k, own, x, at)
+        state, _ = _states(k, own, x, at)
         L = k.lines
         yield pa.RecordBatch.from_arrays(
             [pa.array(b.column("row_id").to_numpy(zero_copy_only=False)[L.page[at]]), pa.array(L.no[at], pa.int64()), pa.array(STATES).take(pa.array(state))], names=["page_id", "line_no", "state"]
@@ -106,23 +110,24 @@ def label_lines(pages: DataFrame, links: DataFrame, text: str = "body_sample") -
 
 def _states(k, own, x, at):
     L = k.lines
-    cols = [FEATURES.index(c) for c in ("link_density", "bullet", "digits")]
-    signs = np.array([signs_of(line, w, dict(zip(("link_density", "bullet", "digits"), v))) for line, w, v in zip(L.flat.take(pa.array(at)).to_pylist(), k.words[at], x[:, cols])], bool).reshape(-1, len(SIGNS))
-    count = np.bincount(L.page[at], minlength=L.n_pages)
+    lines = L.flat.take(pa.array(at))
+    signs = signs_of(lines, k.words[at], x)
+    size = np.bincount(L.page[at], minlength=L.n_pages)
     # the template's lines: not own, and other pages of the site hold them too
     f = {c: x[:, i] for i, c in enumerate(FEATURES)}
     template = ~own[at] & ((f["site_pages"] >= 2) | (f["link_density"] >= 0.9) | (f["label_share"] > 0.01) | (f["title_link"] > 0))
-    state = viterbi(signs, count)
+    state = viterbi(signs, size)
     # pseudo-text repeats its few words, too, but it is no list
-    for i in np.flatnonzero(pc.match_substring_regex(pc.utf8_lower(L.flat.take(pa.array(at))), r"lorem|ipsum|dolorem").to_numpy(zero_copy_only=False)):
+    for i in np.flatnonzero(pc.match_substring_regex(pc.utf8_lower(lines), r"lorem|ipsum|dolorem").to_numpy(zero_copy_only=False)):
         if PSEUDO.search(L.flat[int(at[i])].as_py()):
             state[i] = 0
-    return state, template, count
+    return state, template
 
 
 def non_prose(k, own, x, at) -> tuple[np.ndarray, np.ndarray]:
-    """For each page of a classified batch: the words of its own text, and the share of them in non-prose lines."""
-    state, template, _ = _states(k, own, x, at)
+    """For each page of a classified batch: the words of its own text, and the share of them in non-prose lines.
+    ``at`` has the non-blank lines to look at (all, or those of each page's head)."""
+    state, template = _states(k, own, x, at)
     page, w = k.lines.page[at], np.where(template, 0, k.words[at])
     total = np.bincount(page, weights=w, minlength=k.lines.n_pages)
     other = np.bincount(page, weights=w * NON_PROSE[state], minlength=k.lines.n_pages)

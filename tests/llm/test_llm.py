@@ -185,6 +185,27 @@ def test_languages(spark):
     assert {(r.page_id, r.lang) for r in language.mislabelled(df, lines).collect()} == {(200, "nl"), (201, "en")}
     assert language.line_languages(df.limit(0), f).count() == 0
     assert f.decide(pa.array(["", "1234", TEXTS["de"]], pa.large_string()))[0].tolist()[:2] == [-1, -1]
+    judged = language.judged_line_languages(df, no_links(spark), f)
+    assert {(r.page_id, r.lang) for r in language.mislabelled(df, judged).collect()} == {(200, "nl"), (201, "en")}
+
+
+def test_segments(spark):
+    mixed = "Lamp\n\n" + TEXTS["en"] + "\r\n" + TEXTS["pl"] + " " + TEXTS["nl"] + "\n" + TEXTS["nl"] + "\n?"
+    rows = [page(i, lang="en" if i in (8, 17) else code, text=t) for i, (code, t) in enumerate(list(TEXTS.items()) * 9)]
+    rows += [page(300, text=mixed), page(301, text="1 2 3"), page(302, text=" \n "), page(303, text=None), page(304, text=None, sample="\n".join(TEXTS.values()) * 500)]
+    df = pages(spark, rows)
+    parts = language.segments(df, language.train_filters(df))
+    got = {}
+    for r in parts.orderBy("page_id", "segment").collect():
+        got.setdefault(r.page_id, []).append(r)
+    assert [(r.lang, r.first_line, r.last_line) for r in got[300]] == [("nl", 1, 1), ("en", 3, 3), ("pl", 4, 4), ("nl", 4, 6)]
+    cut = [mixed[r.begin_at : r.end_at] for r in got[300]]
+    assert TEXTS["en"] in cut[1] and cut[2].strip() == TEXTS["pl"] and cut[3].startswith(TEXTS["nl"]) and cut[3].endswith("?")
+    assert [(r.lang, r.confidence) for r in got[301]] == [(None, 0.0)] and not {302, 303} & set(got) and len(got[304]) >= 2000
+    whole = {r.page_id: r for r in language.text_languages(parts).collect()}
+    assert whole[300].lang == "nl" and whole[300].languages == 3 and whole[301].lang is None and set(whole) == set(got)
+    assert all(whole[i].lang == code and whole[i].share == 1 for i, code in enumerate(list(TEXTS) * 9))
+    assert language.segments(df.limit(0), language.train_filters(df)).count() == 0
 
 
 def test_named_language(spark):
@@ -243,10 +264,19 @@ def test_residue(spark):
     body = "\n".join(sentences(3) + sentences(4))
     rows = [page(i, f"https://r{i}.example/", t, text=x) for i, (t, x) in enumerate([("{{title}} | Shop", body), ("Lamp undefined", body), ("Lamp", "undefined : undefined\nNaN EUR"), ("404", "Sorry, this page could not be found. It may have moved."), ("App", "Please enable JavaScript to run this app."),
         ("X", "Lorem ipsum dolorem vestra quod lorem tellum vix nolum porta."), ("Y", "Your text goes here. Replace this paragraph with your own words."), ("A lost page costs trust", body + "\nA page that was not found costs trust, says the report on error 404 pages."), (None, None), ("Fine", body)])]
+    gone = {r.page_id for r in blocks.boilerplate_lines(pages(spark, rows), no_links(spark), head=1500).collect()}
+    assert not gone & set(range(7))
     got = {r.page_id: r.why for r in residue.residue_pages(pages(spark, rows), no_links(spark)).collect()}
     assert got == {0: "mark", 1: "empty value", 2: "empty value", 3: "message", 4: "message", 5: "filler", 6: "filler"}
 
 
+@pytest.mark.parametrize("repeats", [1, 3, 12])
+def test_residue_of_any_length(spark, repeats):
+    said = "Sorry, this page could not be found. The session has expired, please log in again. Please enable JavaScript to run this app."
+    rows = [page(1, "https://r1.example/", "404", text="\n".join([said] * repeats)), page(2, "https://r2.example/", "404", text=" ".join([said] * repeats)), page(3, "https://r3.example/", "T", text=said + "\n" + "\n".join(sentences(3) + sentences(4)))]
+    assert {r.page_id for r in residue.residue_pages(pages(spark, rows), no_links(spark)).collect()} == {1, 2}
+
+
 # --- problem 7 -----------------------------------------------------------------------------------------------------
 def test_viterbi():
     rng = np.random.default_rng(5)
