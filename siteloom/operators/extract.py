@@ -30,8 +30,8 @@ IMAGE = _struct(src=_S, alt=_S, width=_S, height=_S, loading=_S)
 ENTITY = _struct(types=_STRINGS, props=_STRINGS)
 FACTS = _struct(
     url=_S, parse_error=_S, title=_S, title_count=_L, meta_description=_S, meta_robots=_S, googlebot=_S, viewport=_S, charset=_S, html_lang=_S,
-    canonical=_S, canonical_count=_L, h1=_STRINGS, h2=_STRINGS, h3=_STRINGS, h4=_STRINGS, h5=_STRINGS, h6=_STRINGS,
-    og=T.MapType(_S, _S), twitter=T.MapType(_S, _S), hreflang=T.ArrayType(_struct(lang=_S, href=_S)),
+    canonical=_S, canonical_target=_S, canonical_count=_L, h1=_STRINGS, h2=_STRINGS, h3=_STRINGS, h4=_STRINGS, h5=_STRINGS, h6=_STRINGS,
+    og=T.MapType(_S, _S), twitter=T.MapType(_S, _S), hreflang=T.ArrayType(_struct(lang=_S, href=_S, target=_S)),
     jsonld_blocks=_L, jsonld_invalid=_L, entities=T.ArrayType(ENTITY), same_as=_STRINGS, microdata=_L, rdfa=_L,
     images=T.ArrayType(IMAGE), links=T.ArrayType(LINK), rel_next=_S, rel_prev=_S, favicon=_S, manifest=_S, amphtml=_S,
     preload=_L, preconnect=_L, prefetch=_L, dns_prefetch=_L, preload_image=_B,
@@ -50,6 +50,20 @@ def _one(text: str | None) -> str:
     return " ".join((text or "").split())
 
 
+def resolved(base: str, href: str | None) -> str | None:
+    """The absolute address of a link, scheme and host in lower case; None if it has none or is malformed."""
+    if not href or re.fullmatch(r"https?:/*", href, re.I):
+        return None
+    try:
+        at = urlsplit(urljoin(base, href))
+        at.port  # noqa: B018 - raises if it is no number
+    except ValueError:
+        return None
+    if not at.scheme or (at.scheme in ("http", "https") and (not at.hostname or re.search(r"[\s<>^|%]", at.netloc))):
+        return None
+    return at._replace(netloc=at.netloc.lower(), path=at.path or ("/" if at.netloc else "")).geturl()
+
+
 class _Page(HTMLParser):
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
@@ -237,10 +251,11 @@ class _Page(HTMLParser):
     def _link(self, a):
         f, rel, href = self.f, a.get("rel", "").lower().split(), a.get("href", "").strip() or None
         if "canonical" in rel:
+            if not f["canonical_count"]:
+                f["canonical"], f["canonical_target"] = href, resolved(self.base, href)
             f["canonical_count"] += 1
-            f["canonical"] = f["canonical"] or href
         if "alternate" in rel and a.get("hreflang"):
-            f["hreflang"].append({"lang": a["hreflang"], "href": href})
+            f["hreflang"].append({"lang": a["hreflang"], "href": href, "target": resolved(self.base, href)})
         for name, key in (("next", "rel_next"), ("prev", "rel_prev"), ("icon", "favicon"), ("manifest", "manifest"), ("amphtml", "amphtml")):
             if name in rel:
                 f[key] = f[key] or href
@@ -360,8 +375,8 @@ def page_content(pages: DataFrame, url: str = "url", html: str = "html") -> Data
     return pages.select(F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html")).mapInPandas(run, "url string, text string, headings array<string>")
 
 
-def page_facts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``FACTS`` of each row of ``pages``, in one pass."""
+def page_facts(pages: DataFrame, url: str = "url", html: str = "html", base: str | None = None) -> DataFrame:
+    """``FACTS`` of each row of ``pages``, in one pass. Links are resolved against ``base``, else against ``url``."""
     import pyarrow as pa
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -371,12 +386,12 @@ def page_facts(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         for b in frames:
             for s in range(0, b.num_rows, 200):
                 c = b.slice(s, 200)
-                rows = [parse(h, u) for u, h in zip(c.column(0).to_pylist(), c.column(1).to_pylist())]
+                rows = [{**parse(h, at), "url": u} for u, h, at in zip(*(x.to_pylist() for x in c.columns))]
                 for r in rows:
                     r["og"], r["twitter"] = list(r["og"].items()), list(r["twitter"].items())
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return pages.select(F.col(url).cast("string"), F.col(html).cast("string")).mapInArrow(run, FACTS)
+    return pages.select(F.col(url).cast("string"), F.col(html).cast("string"), F.col(base or url).cast("string").alias("__base")).mapInArrow(run, FACTS)
 
 
 def child(facts: DataFrame, name: str) -> DataFrame:

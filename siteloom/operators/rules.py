@@ -36,16 +36,16 @@ _GATE = "word_count >= 250 and not noindex and "
 _LOCAL = "looks_local and "
 PAGE_RULES: tuple[Rule, ...] = (
     Rule("IDX_NOINDEX", W, "indexability", "noindex"),
-    Rule("IDX_NOFOLLOW", N, "indexability", "meta_robots like '%nofollow%'"),
+    Rule("IDX_NOFOLLOW", N, "indexability", "lower(meta_robots) like '%nofollow%'"),
     Rule("IDX_HTTP_ERROR", E, "indexability", "status >= 400 or status = 0", "concat('status ', cast(status as string))"),
     Rule("IDX_REDIRECT_CHAIN", W, "indexability", "status < 400 and hops > 1", "concat(cast(hops as string), ' hops')"),
     Rule("IDX_REDIRECT", N, "indexability", "status < 400 and hops = 1"),
     Rule("IDX_TEMP_REDIRECT", W, "indexability", "temporary_hops > 0"),
     Rule("IDX_MULTI_CANONICAL", E, "indexability", "canonical_count > 1"),
-    Rule("IDX_NO_CANONICAL", N, "indexability", "canonical_count = 0"),
-    Rule("IDX_CANONICAL_OTHER", N, "indexability", "canonical_target is not null and canonical_target <> final_norm"),
-    Rule("IDX_NOINDEX_CANONICAL", W, "indexability", "canonical_target is not null and canonical_target <> final_norm and noindex"),
-    Rule("IDX_BAD_CANONICAL", W, "indexability", "canonical_count > 0 and canonical_target is null"),
+    Rule("IDX_NO_CANONICAL", N, "indexability", "canonical_count <= 1 and canonical is null"),
+    Rule("IDX_CANONICAL_OTHER", N, "indexability", "canonical_count = 1 and canonical_norm <> final_norm"),
+    Rule("IDX_NOINDEX_CANONICAL", W, "indexability", "canonical_count = 1 and canonical_norm <> final_norm and noindex"),
+    Rule("IDX_BAD_CANONICAL", W, "indexability", "canonical_count = 1 and canonical is not null and canonical_norm is null"),
     Rule("META_NO_TITLE", E, "meta", "title is null or trim(both ' ' from title) = ''"),
     Rule("META_MULTI_TITLE", W, "meta", "title_count > 1"),
     Rule("META_TITLE_SHORT", W, "meta", "length(trim(both ' ' from title)) > 0 and length(trim(both ' ' from title)) < 30", "concat(cast(length(trim(both ' ' from title)) as string), ' characters')"),
@@ -61,7 +61,7 @@ PAGE_RULES: tuple[Rule, ...] = (
     Rule("CNT_IMG_NO_ALT", W, "content", "images_no_alt > 0"),
     Rule("PERF_IMG_NO_DIM", N, "performance", "images_no_size > 0"),
     Rule("MOB_NO_VIEWPORT", E, "mobile", "has_markup and viewport is null"),
-    Rule("MOB_BAD_VIEWPORT", W, "mobile", "viewport not like '%width=device-width%'"),
+    Rule("MOB_BAD_VIEWPORT", W, "mobile", "not (lower(viewport) rlike 'width[ ]*=[ ]*device-width')"),
     Rule("INT_NO_LANG", W, "international", "html_lang is null or trim(both ' ' from html_lang) = ''"),
     Rule("META_NO_CHARSET", N, "meta", "has_markup and charset is null"),
     Rule("INT_HREFLANG_NO_SELF", N, "international", "hreflang_count > 0 and not hreflang_self"),
@@ -130,7 +130,7 @@ PAGE_RULES: tuple[Rule, ...] = (
     Rule("SEC_NO_REFERRER", N, "security", "has_headers and referrer_policy is null"),
     Rule("RENDER_DEPENDENT", W, "content", "rendered_words > 1.5 * word_count and word_count < 200"),
 )
-_SQL_WORDS = frozenset("is null not and or like length trim both from cast as string concat lower contains".split())
+_SQL_WORDS = frozenset("is null not and or like length trim both from cast as string concat lower contains rlike".split())
 
 
 def applicable(columns: list[str], rules: tuple[Rule, ...] = PAGE_RULES) -> list[Rule]:
@@ -166,7 +166,7 @@ def schema_rule_issues(missing: DataFrame) -> DataFrame:
 def derived(facts: DataFrame) -> DataFrame:
     """Rule columns from parsed facts (``extract.page_facts``), with ``final_url, status, depth, response_time_ms, headers, redirect_chain`` joined."""
     from ..functions import text as X
-    from ..functions.urls import path_of, query_of, url_norm
+    from ..functions.urls import host_of, origin_of, path_of, query_of, url_norm
 
     header = lambda n: F.col("headers").getItem(n)
     img = F.col("images")
@@ -182,13 +182,13 @@ def derived(facts: DataFrame) -> DataFrame:
     d = facts.withColumns({
         "noindex": F.coalesce(F.lower("meta_robots").contains("noindex"), F.lit(False)) | F.coalesce(F.lower(header("x-robots-tag")).contains("noindex"), F.lit(False)),
         "hops": n(F.col("redirect_chain")), "temporary_hops": n(F.filter("redirect_chain", lambda h: h["status"].isin(302, 303, 307))),
-        "final_norm": url_norm(F.col("final_url")), "has_markup": F.col("html_size") > 0, "has_headers": F.size("headers") > 0,
+        "has_markup": F.col("html_size") > 0, "has_headers": F.size("headers") > 0,
         "h1_count": n(F.col("h1")), "heading_skip": skip, "word_count": words,
         "text_ratio": X.clipped_share(F.length("body_text"), F.col("html_size")),
         "image_count": n(img), "images_no_alt": n(F.filter(img, lambda x: x["alt"].isNull())), "images_no_size": n(F.filter(img, lambda x: x["src"].isNotNull() & (x["width"].isNull() | x["height"].isNull()))),
         "images_http": n(F.filter(img, lambda x: x["src"].startswith("http://"))), "images_legacy": n(F.filter(img, lambda x: x["src"].rlike(r"(?i)\.(jpe?g|png)(\?|$)"))),
-        "images_not_lazy": n(F.filter(img, lambda x: ~x["loading"].eqNullSafe("lazy"))), "images_camera_name": n(F.filter(img, lambda x: x["src"].rlike(r"(?i)(img|dsc|image|photo)[_-]?\d{3,}\.\w+"))),
-        "images_elsewhere": n(F.filter(img, lambda x: x["src"].rlike("(?i)^https?://"))),
+        "images_not_lazy": n(F.filter(img, lambda x: (x["src"] != "") & ~x["loading"].eqNullSafe("lazy"))), "images_camera_name": n(F.filter(img, lambda x: x["src"].rlike("(?i)" + dims.CAMERA_NAME))),
+        "images_elsewhere": n(F.filter(img, lambda x: x["src"].rlike("(?i)^https?://") & ~F.contains(F.lower(x["src"]), host_of(F.col("final_url"))))),
         "hreflang_count": n(F.col("hreflang")), "og_title": F.col("og").getItem("og:title"), "og_image": F.col("og").getItem("og:image"), "twitter_card": F.col("twitter").getItem("twitter:card"),
         "og_present": n(F.array_intersect(F.map_keys("og"), F.array(*[F.lit(f"og:{k}") for k in ("title", "description", "image", "url", "type")]))),
         "internal_link_count": n(internal), "external_link_count": n(F.filter("links", lambda x: ~x["internal"])),
@@ -208,9 +208,10 @@ def derived(facts: DataFrame) -> DataFrame:
         "avg_sentence_length": X.average_sentence(F.col("body_text")), "readability": X.readability(F.col("body_text")),
         "title_h1_disjoint": (F.size("h1") == 1) & (F.size(tokens(F.col("title"))) > 0) & (F.size(tokens(F.element_at("h1", 1))) > 0) & ~F.arrays_overlap(tokens(F.col("title")), tokens(F.get("h1", F.lit(0)))),
     })
-    resolved = F.when(F.col("canonical").rlike("(?i)^https?://"), F.col("canonical")).when(F.col("canonical").startswith("/"), F.concat(F.regexp_extract("final_url", r"^([a-z]+://[^/?#]+)", 1), F.col("canonical")))
-    return d.withColumns({
-        "canonical_target": url_norm(resolved), "hreflang_self": F.exists("hreflang", lambda x: url_norm(x["href"]) == F.col("final_norm")),
+    # as absolute addresses compare: scheme and host in lower case, no fragment, no slash at the end
+    plain = lambda u: F.regexp_replace(F.concat(origin_of(u), F.substring(url_norm(u), F.length(origin_of(u)) + 1, F.lit(1_000_000))), "/$", "")
+    return d.withColumn("final_norm", plain(F.col("final_url"))).withColumns({
+        "canonical_norm": plain(F.col("canonical_target")), "hreflang_self": F.exists("hreflang", lambda x: F.coalesce(plain(x["target"]) == F.col("final_norm"), F.lit(False))),
         "words_per_section": F.when(F.col("section_headings") > 0, F.round(words / (F.col("section_headings") + 1))).otherwise(words).cast("long"),
         "looks_local": F.col("local_business") | F.col("schema_address") | F.col("has_map") | (F.col("tel_links") > 0) | F.col("final_url").rlike("(?i)" + dims.LOOKS_LOCAL),
         "has_address": F.col("schema_address") | F.col("body_text").rlike(r"(?i)(^|\W)(\d{2}-\d{3}|\d{5})(\W|$)|(^|\W)(ul\.|ulica|al\.|aleja|plac|street|st\.|ave\.?|avenue)(\W|$)"),

@@ -18,7 +18,7 @@ def test_facts():
     assert (f["title"], f["title_count"], f["meta_description"], f["meta_robots"]) == ("A page", 2, "about", "noindex, follow")
     assert (f["canonical"], f["canonical_count"], f["html_lang"], f["charset"]) == ("/canon", 1, "en", "utf-8")
     assert f["h1"] == ["One"] and f["h3"] == ["Why?"] and f["question_headings"] == 1
-    assert f["hreflang"] == [{"lang": "pl", "href": "/pl"}] and f["favicon"] == "/f.ico" and f["preload"] == 1 and f["preload_image"]
+    assert f["hreflang"] == [{"lang": "pl", "href": "/pl", "target": "https://s.example/pl"}] and f["favicon"] == "/f.ico" and f["preload"] == 1 and f["preload_image"]
     assert f["jsonld_blocks"] == 2 and f["jsonld_invalid"] == 1
     assert [e["types"] for e in f["entities"]] == [["Article", "Recipe"], ["Person"]]
     assert [i["alt"] for i in f["images"]] == [None, "", "go"] and f["images"][1]["src"] == "q.png"
@@ -55,3 +55,16 @@ def test_thresholds(spark):
     assert got[29] == {"META_TITLE_SHORT", "META_DESC_SHORT", "CNT_THIN"}
     assert got[30] == {"PERF_MEDIUM"} and got[60] == {"PERF_MEDIUM"}
     assert got[61] == {"META_TITLE_LONG", "META_DESC_LONG", "PERF_SLOW"}
+
+
+def test_golden_pages_cover_every_rule():
+    from siteloom.queries import golden
+
+    expected = {rule for _, _, fire in golden.CASES for rule in fire.split()}
+    assert expected == {r.id for r in rules.PAGE_RULES} and len({name for name, _, _ in golden.CASES}) == len(golden.CASES)
+
+
+def test_resolved():
+    at = "https://s.example/a/b"
+    cases = {"c": "https://s.example/a/c", "/c": "https://s.example/c", "//T.example": "https://t.example/", "?q": "https://s.example/a/b?q", "": None, None: None, "https://": None, "https://a b/": None, "https://x:port/": None, "mailto:x": "mailto:x"}
+    assert {k: extract.resolved(at, k) for k in cases} == cases
