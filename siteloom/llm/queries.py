@@ -132,5 +132,15 @@ with l as (
 ORACLES: dict[str, str] = {
     "p1_found": _GROUPS + " select m.least_page_id as page_id_a, g.page_id as page_id_b from m join g using (x, y) where g.page_id > m.least_page_id",
     "p1_records": _GROUPS + " select page_id, least_page_id, copies from m",
+    "p3_cleaned": _LINES
+    + """, gone as (select t.page_id, t.line_no from t join f using (site, item)), p as (
+  select page_id, unnest(string_split(body_sample, chr(10))) as line, generate_subscripts(string_split(body_sample, chr(10)), 1) as line_no from page_facts
+), k as (select page_id, string_agg(line, chr(10) order by line_no) as kept from p anti join gone using (page_id, line_no) group by page_id)
+select page_id, case when body_sample is not null then coalesce(kept, '') end as body_sample from page_facts left join k using (page_id)""",
+    "p3_sequences": _LINES
+    + """, o as (select t.page_id, t.site, t.line_no, t.item from t join f using (site, item)),
+s as (select page_id, site, list(item order by line_no) as items, list(line_no order by line_no) as nos from o group by page_id, site),
+a as (select page_id, site, items, nos, unnest(generate_series(1, len(items))) as i from s), w as (select page_id, site, nos[i] as line_no, items[i:j] as pattern, j - i + 1 as length from (select *, unnest(generate_series(i, len(items))) as j from a))
+select site, cast(length as bigint) as length, count(distinct page_id) as docs, min(row(page_id, line_no))[1] as page_id, cast(min(row(page_id, line_no))[2] as bigint) as line_no from w group by site, length, pattern having count(distinct page_id) >= 8""",
     "p3_found": _LINES + " select t.page_id, cast(t.line_no as bigint) as line_no from t join f using (site, item)",
 }

@@ -156,10 +156,39 @@ def test_repeated_lines(spark):
 
 def test_sequences(spark):
     rows = [page(i, text="\n".join([f"own {chr(97 + i)}", "one", "two", "three", *(["four"] if i < 7 else [])])) for i in range(9)]
-    got = collections.Counter((r.length, r.docs) for r in repeated_lines.repeated_sequences(pages(spark, rows)).collect())
-    assert got == {(1, 9): 3, (2, 9): 2, (3, 9): 1}
-    d = {(r.page_id, r.line_no): r.pattern_length for r in repeated_lines.deletions(pages(spark, rows)).collect()}
-    assert len(d) == 27 and set(d.values()) == {3}
+    df = pages(spark, rows)
+    for local in (10**6, 0):
+        got = [(r.length, r.docs, r.page_id, r.line_no) for r in repeated_lines.repeated_sequences(df, local_items=local).collect()]
+        assert sorted(got) == [(1, 9, 0, 2), (1, 9, 0, 3), (1, 9, 0, 4), (2, 9, 0, 2), (2, 9, 0, 3), (3, 9, 0, 2)]
+        d = {(r.page_id, r.line_no): r.pattern_length for r in repeated_lines.deletions(df, local_items=local).collect()}
+        assert len(d) == 27 and set(d.values()) == {3}
+    assert repeated_lines.repeated_sequences(df.limit(0)).count() == 0 and repeated_lines.deletions(df.limit(0), local_items=0).count() == 0
+
+
+@pytest.mark.parametrize("gap", [0, 2])
+def test_sequences_of_any_length(spark, gap):
+    rng = random.Random(gap)
+    texts = [[rng.choice(["a b", "c d", "e f", "g h", f"own {chr(97 + i)}", ""]) for _ in range(rng.randrange(9))] + list("mnopqrstu") * (i < 9) for i in range(24)]
+    df = pages(spark, [page(i, f"https://{'x' if i % 8 else 'y'}.example/", text="\n".join(t)) for i, t in enumerate(texts)])
+    kept = {}
+    for i, t in enumerate(texts):
+        kept[i] = (i % 8 > 0, [(x, n) for n, x in enumerate(t, 1) if x])
+    single = collections.defaultdict(set)
+    for i, (site, t) in kept.items():
+        for x, _ in t:
+            single[site, x].add(i)
+    want = collections.defaultdict(dict)
+    for i, (site, t) in kept.items():
+        t = [(x, n) for x, n in t if len(single[site, x]) >= 5]
+        todo = [((t[j][0],), j, t[j][1]) for j in range(len(t))]
+        while todo:
+            pattern, j, n = todo.pop()
+            want[site, pattern][i] = min(n, want[site, pattern].get(i, 99))
+            todo += [((*pattern, t[k][0]), k, n) for k in range(j + 1, min(len(t), j + gap + 2))] if len(pattern) < (99 if gap == 0 else 5) else []
+    want = sorted((len(p), len(v), *min(v.items())) for (_, p), v in want.items() if len(v) >= 5)
+    for local in (10**6, 0):
+        got = sorted((r.length, r.docs, r.page_id, r.line_no) for r in repeated_lines.repeated_sequences(df, support=5, gap=gap, local_items=local).filter("length <= 5" if gap else "true").collect())
+        assert got == want and max(w[0] for w in want) >= (9 if gap == 0 else 5)
 
 
 # --- problem 4 -----------------------------------------------------------------------------------------------------
