@@ -2,8 +2,9 @@
 
 The ledger is a folder of buckets (by hash of the canonical key). A batch of records is aggregated to one row per key,
 full-outer-joined against the buckets it touches, counts are added and the earliest representative is kept. Only
-touched buckets are written again, as a new version; a manifest names the version of each bucket that holds, and is
-put in place last, so a lost executor or an aborted update leaves the previous ledger valid.
+touched buckets are written again, as a new version; a numbered manifest names the version of each bucket that holds. It is
+written under another name and renamed last, and the newest one that is whole counts, so whatever is lost on the way
+the ledger is as before the update or after it. Versions that the two newest manifests do not name are removed.
 """
 
 from __future__ import annotations
@@ -67,35 +68,64 @@ def keyed(records: DataFrame, fields: tuple[str, ...], row_id: str = "page_id",
     return some.mapInArrow(run, "row_id long, at timestamp, loaded_at timestamp, key binary")
 
 
+#: Keys a bucket should hold at most, and rows a task writes.
+BUCKET_KEYS = 2_000_000
+_MANIFEST = re.compile(r"manifest-(\d{9})\.json")
+
+
 class Ledger:
-    """Counts of canonical keys, kept in ``path``. ``buckets``: into how many parts; more for larger corpora."""
+    """Counts of canonical keys, kept in ``path``. ``buckets``: into how many parts (an existing ledger keeps its own)."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path or fresh_path(spark, "ledger"), buckets
-        self.versions: dict[int, str] = self._manifest()
+        self.spark, self.path = spark, path or fresh_path(spark, "ledger")
+        self.number, state = self._newest()
+        self.buckets: int = state.get("buckets", buckets)
+        self.keys: int = state.get("keys", 0)
+        self.versions: dict[int, str] = {int(k): v for k, v in state.get("versions", {}).items()}
 
-    def _file(self, name: str):
+    def _at(self, name: str = ""):
         jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return jvm, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _manifest(self) -> dict[int, str]:
-        jvm, fs, p = self._file("manifest.json")
-        if not fs.exists(p):
-            return {}
-        with_stream = fs.open(p)
-        text = jvm.org.apache.commons.io.IOUtils.toString(with_stream, "UTF-8")
-        with_stream.close()
-        return {int(k): v for k, v in json.loads(text).items()}
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _names(self) -> list[str]:
+        fs, p = self._at()
+        return [x.getPath().getName() for x in fs.listStatus(p)] if fs.exists(p) else []
+
+    def _read(self, name: str) -> dict | None:
+        fs, p = self._at(name)
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        except ValueError:
+            return None
+        finally:
+            stream.close()
+
+    def _newest(self) -> tuple[int, dict]:
+        """Number and content of the newest manifest that is whole; 0 and nothing for a new ledger."""
+        for number in sorted((int(m[1]) for m in map(_MANIFEST.fullmatch, self._names()) if m), reverse=True):
+            state = self._read(f"manifest-{number:09d}.json")
+            if state is not None:
+                return number, state
+        return 0, {}
 
     def _publish(self) -> None:
-        jvm, fs, new = self._file("manifest.new")
+        state = {"buckets": self.buckets, "keys": self.keys, "versions": self.versions}
+        name = f"manifest-{self.number + 1:09d}.json"
+        fs, new = self._at(f"{name}.{uuid.uuid4().hex}.new")
         out = fs.create(new, True)
-        out.write(bytearray(json.dumps(self.versions).encode()))
+        out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        _, _, old = self._file("manifest.json")
-        fs.delete(old, False)
-        fs.rename(new, old)
+        if not fs.rename(new, self._at(name)[1]):
+            raise RuntimeError(f"another update of {self.path} came first")
+        self.number += 1
+        before = self._read(f"manifest-{self.number - 1:09d}.json") if self.number > 1 else None
+        named = set(self.versions.values()) | set((before or {}).get("versions", {}).values())
+        for n in self._names():
+            m = _MANIFEST.fullmatch(n)
+            if (n.startswith("v-") and n not in named) or (m and int(m[1]) < self.number - 1):
+                fs.delete(self._at(n)[1], True)
 
     def bucket_of(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
@@ -133,7 +163,10 @@ class Ledger:
             F.least(F.when(F.col("first_id").isNotNull(), was), F.col("first")).alias("first"), F.least("least_id", "least").alias("least_id"),
         ).select("bucket", "key", "copies", F.col("first.at").alias("first_at"), F.col("first.row_id").alias("first_id"), "least_id")
         version = f"v-{uuid.uuid4().hex}"
-        both.repartition("bucket").write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{version}")
+        self.keys += new.count()  # at most so many keys
+        # a bucket with many keys is written by several tasks
+        splits = max(1, -(-self.keys // (self.buckets * BUCKET_KEYS)))
+        both.repartition(len(touched) * splits, "bucket", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(splits))).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self.path}/{version}")
         self.versions |= {b: version for b in touched}
         self._publish()
 
@@ -157,8 +190,8 @@ def hidden_duplicates(records: DataFrame, fields: tuple[str, ...] = ("title", "m
     Nulls and texts without letters or digits have no key; repeated rows count as copies; an empty table gives empty results.
     """
     spark = records.sparkSession
-    ledger = ledger or Ledger(spark)
     rows = stored(keyed(records, fields, row_id, at, loaded), "ledger-keys")
+    ledger = ledger or Ledger(spark, buckets=max(64, rows.count() // BUCKET_KEYS))
     return rows, fill(ledger, rows).filter("copies >= 2")
 
 

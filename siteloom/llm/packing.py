@@ -1,6 +1,6 @@
 """Filling containers of a fixed capacity: shortest-pack-first over the histogram of item lengths.
 
-Only the histogram (at most ``capacity`` + 1 rows) comes to the driver. Lengths are placed longest first; equal packs are
+Only the histogram (at most ``capacity`` + 1 rows) comes to the driver and goes to the executors. Lengths are placed longest first; equal packs are
 one pattern with a count, so the work depends on the capacity, not on the number of items. Items find their container
 by their rank among the items of their length, which is computed in parallel.
 """
@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from ..plans.lineage import stored
 
-SALTS = 64
+#: Items of one length that a task ranks; a length with more is salted.
+RANKED = 200_000
 
 
 def pack_histogram(histogram: dict[int, int], capacity: int) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -64,7 +65,7 @@ def slots(patterns: list[tuple[int, list[tuple[int, int]]]], capacity: int) -> d
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 
-def pack(sizes: DataFrame, capacity: int, salts: int = SALTS) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, ranked_rows: int = RANKED) -> DataFrame:
     """``doc_id, piece, tokens, container, unused`` for ``sizes(doc_id, tokens)``.
 
     An item larger than the capacity is split into full pieces and a rest; others are whole (piece 0). Empty items take
@@ -79,13 +80,16 @@ def pack(sizes: DataFrame, capacity: int, salts: int = SALTS) -> DataFrame:
     items = sizes.select("doc_id", n.alias("n"), F.explode(F.sequence(F.lit(0), last)).alias("piece")).select(
         "doc_id", "piece", F.least(F.col("n") - F.col("piece") * F.lit(capacity), F.lit(capacity)).cast("long").alias("tokens")
     )
-    items = stored(items.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int")), "pack-items")
-    counts = items.groupBy("tokens", "salt").agg(F.count("*").alias("n"))  # at most (capacity + 1) x salts rows
+    items = stored(items, "pack-items")
+    histogram = {r.tokens: r.n for r in items.groupBy("tokens").agg(F.count("*").alias("n")).collect()}
+    # salts grow with the items of a length; the table has at most capacity + 1 rows
+    salts = spark.createDataFrame([(t, -(-m // ranked_rows)) for t, m in histogram.items()], "tokens long, salts long")
+    items = items.join(F.broadcast(salts), "tokens").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.col("salts")))
+    counts = items.groupBy("tokens", "salt").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = stored(counts.select("tokens", "salt", before.alias("before"), "n"), "pack-counts")
-    histogram = {r.tokens: r.n for r in offsets.groupBy("tokens").agg(F.sum("n").alias("n")).collect()}
+    offsets = counts.select("tokens", "salt", before.alias("before"))
     found = spark.sparkContext.broadcast(slots(pack_histogram(histogram, capacity), capacity))
-    ranked = items.join(offsets.drop("n"), ["tokens", "salt"]).select(
+    ranked = items.join(offsets, ["tokens", "salt"]).select(
         "doc_id", "piece", "tokens", (F.row_number().over(Window.partitionBy("tokens", "salt").orderBy("doc_id", "piece")) - 1 + F.col("before")).alias("rank")
     )
 

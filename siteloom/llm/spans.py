@@ -8,8 +8,9 @@ built of each, and the other surroundings of the shard are streamed through it f
 at least ``length`` characters remain. The result is exact: nothing is sampled, and spans are compared character by
 character.
 
-Filters that are broadcast are bit maps of a fixed size. They only spare shuffling rows that cannot match; where they
-fill up, the exact joins behind them still hold.
+Texts are not shuffled with their anchors: an anchor is three numbers, and only for those that several documents hold are
+the surroundings cut from the texts. The filter that is broadcast is a bit map of a fixed size. It only spares shuffling
+anchors that cannot match; where it fills up, the exact join behind it still holds.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ LENGTH = 200
 MAP_BITS = 25
 #: Different surroundings of one anchor that are compared in one task; larger shards are compared block by block.
 BLOCK = 500
+#: Members of a group of copies that meet in one task when pairs are written out; larger groups are paired block by block.
+PAIR_BLOCK = 1000
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -174,7 +177,7 @@ def _bitmap(table: DataFrame, key: str, bits: int = MAP_BITS) -> np.ndarray:
 
 
 def _texts(documents: DataFrame, length: int) -> DataFrame:
-    return documents.filter(F.length("text") >= length).select(F.col("doc_id").alias("doc"), "text")
+    return documents.filter(F.length("text") >= length).select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("version"), "text")
 
 
 def surroundings(documents: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -189,39 +192,43 @@ def surroundings(documents: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def anchors(frames):
         for b in batches(frames):
-            row, _, h = cutter(b.column("text").cast(pa.large_string()))
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(b.column("doc").to_numpy(zero_copy_only=False)[row], pa.int64())], names=["anchor", "doc"])
+            row, pos, h = cutter(b.column("text").cast(pa.large_string()))
+            row = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(h), b.column("doc").take(row), b.column("version").take(row), pa.array(pos, pa.int32())], names=["anchor", "doc", "version", "pos"])
 
     docs = _texts(documents, length)
-    several = (
-        docs.mapInArrow(anchors, "anchor long, doc long").groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).filter("a < b").select("anchor", "n")
-    )
+    places = stored(docs.mapInArrow(anchors, "anchor long, doc long, version long, pos int"), "anchors")
+    several = places.groupBy("anchor").agg(F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n")).filter("a < b").select("anchor", "n")
     several = stored(several, "shared-anchors")
     total = several.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = documents.sparkSession.sparkContext.broadcast(_bitmap(several, "anchor"))
     k, reach = cutter.k, length - cutter.k
 
-    def occurrences(frames):
+    def possible(frames):
         mask = (1 << MAP_BITS) - 1
+        for b in frames:
+            slot = b.column("anchor").to_numpy(zero_copy_only=False) & mask
+            yield b.filter(pa.array((bits.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0))
+
+    found = places.mapInArrow(possible, "anchor long, doc long, version long, pos int")
+    exact = lookup(found, several, ["anchor"], ["n"], "n", max(total, 1), F.col("doc")).filter("n is not null")
+    of_doc = exact.groupBy("doc", "version").agg(F.collect_list(F.struct("anchor", "pos")).alias("at"))
+
+    def cuts(frames):
         for b in batches(frames):
-            texts = b.column("text")
-            row, pos, h = cutter(texts.cast(pa.large_string()))
-            slot = h & mask
-            keep = (bits.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
-            row, pos, h = row[keep], pos[keep], h[keep]
+            flat = b.column("at").flatten()
+            row = pc.list_parent_indices(b.column("at"))
+            h, pos = flat.field("anchor"), flat.field("pos").to_numpy(zero_copy_only=False)
             left = np.minimum(pos, reach)
-            own, last = None, -1
-            out = []
-            for r, p, lf in zip(row.tolist(), pos.tolist(), left.tolist()):
+            own, last, out = "", -1, []
+            for r, p, lf in zip(row.to_pylist(), pos.tolist(), left.tolist()):
                 if r != last:
-                    own, last = texts[r].as_py(), r
+                    own, last = b.column("text")[r].as_py(), r
                 out.append(own[p - lf : p + k + reach])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h), pa.array(b.column("doc").to_numpy(zero_copy_only=False)[row], pa.int64()), pa.array(pos, pa.int32()), pa.array(left, pa.int32()), pa.array(out, pa.string())], names=["anchor", "doc", "pos", "left", "text"]
-            )
+            yield pa.RecordBatch.from_arrays([h, b.column("doc").take(row), pa.array(pos, pa.int32()), pa.array(left, pa.int32()), pa.array(out, pa.string())], names=["anchor", "doc", "pos", "left", "text"])
 
-    found = docs.mapInArrow(occurrences, "anchor long, doc long, pos int, left int, text string")
-    exact = lookup(found, several, ["anchor"], ["n"], "n", max(total, 1), F.col("doc")).filter("n is not null").drop("n")
+    # rows with the same doc_id are one document, but each text has places of its own
+    exact = docs.join(of_doc, ["doc", "version"]).select("doc", "text", "at").mapInArrow(cuts, "anchor long, doc long, pos int, left int, text string")
     return exact.withColumn("here", F.xxhash64("left", "text"))
 
 
@@ -303,18 +310,33 @@ def sharing_pairs(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     group = same.groupBy("anchor", "here").agg(
         F.min("doc").alias("a"), F.max("doc").alias("b"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("doc")).alias("x"), F.bit_xor(F.xxhash64("doc", F.lit(1))).alias("y")
     )
-    several = group.filter("a < b").groupBy("a", "b", "n", "x", "y").agg(F.min(F.struct("anchor", "here")).alias("g")).select("g.anchor", "g.here")
-    same = same.join(several, ["anchor", "here"], "left_semi")
-    alike = same.alias("x").join(same.alias("y"), ["anchor", "here"]).filter("x.doc < y.doc").select(F.col("x.doc").alias("doc_id_a"), F.col("y.doc").alias("doc_id_b"))
+    several = group.filter("a < b").groupBy("a", "b", "n", "x", "y").agg(F.min(F.struct("anchor", "here")).alias("g")).select("g.anchor", "g.here", "n")
+    same = same.join(several, ["anchor", "here"])
+    alike = _pairs(same)
     matched = stored(shard_matches(around, length), "shard-matches")
-    who = around.select("anchor", "here", "doc").distinct()
-    a = who.select("anchor", F.col("here").alias("here_a"), F.col("doc").alias("p"))
-    b = who.select("anchor", F.col("here").alias("here_b"), F.col("doc").alias("q"))
-    differing = matched.select("anchor", "here_a", "here_b").distinct().join(a, ["anchor", "here_a"]).join(b, ["anchor", "here_b"]).filter("p != q")
+    who = stored(around.select("anchor", "here", "doc").distinct(), "shard-documents")
+    held = who.groupBy("anchor", "here").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+    side = lambda x: held.select("anchor", F.col("here").alias(f"here_{x}"), F.col("blocks").alias(f"blocks_{x}"))
+    met = matched.select("anchor", "here_a", "here_b").distinct().join(side("a"), ["anchor", "here_a"]).join(side("b"), ["anchor", "here_b"])
+    for x in "ab":
+        met = met.withColumn(f"block_{x}", F.explode(F.sequence(F.lit(0), F.col(f"blocks_{x}") - 1)))
+    blocked = who.join(held, ["anchor", "here"]).withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    a = blocked.select("anchor", F.col("here").alias("here_a"), F.col("block").alias("block_a"), F.col("doc").alias("p"))
+    b = blocked.select("anchor", F.col("here").alias("here_b"), F.col("block").alias("block_b"), F.col("doc").alias("q"))
+    differing = met.join(a, ["anchor", "here_a", "block_a"]).join(b, ["anchor", "here_b", "block_b"]).filter("p != q")
     differing = differing.select(F.least("p", "q").alias("doc_id_a"), F.greatest("p", "q").alias("doc_id_b"))
     return alike.unionByName(differing).distinct()
 
 
+def _pairs(members: DataFrame) -> DataFrame:
+    """``doc_id_a, doc_id_b`` of all members of a group (``anchor, here, doc, n``), in blocks: no task pairs more than two blocks."""
+    blocks = F.ceil(F.col("n") / PAIR_BLOCK).cast("int")
+    m = members.withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    m = m.select("anchor", "here", "doc", "block", F.least("block", "with").alias("one"), F.greatest("block", "with").alias("other"))
+    both = m.alias("x").join(m.alias("y"), ["anchor", "here", "one", "other"]).filter("x.doc < y.doc and (one = other or x.block <> y.block)")
+    return both.select(F.col("x.doc").alias("doc_id_a"), F.col("y.doc").alias("doc_id_b"))
+
+
 def shared_spans(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id, begin, end``: for each document the maximal stretches (code points, end exclusive) that stand in other documents, too."""
     around = stored(surroundings(documents, length), "surroundings")

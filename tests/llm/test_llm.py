@@ -66,6 +66,25 @@ def test_ledger_batches(spark):
     assert get(one) == get(many) == get(again) and sum(r[1] for r in get(one)) == 200
     many.update(ledger.keyed(df.limit(0), ("title", "meta_description")))
     assert get(many) == get(one)
+    # what an update that breaks off leaves behind does not count, and an older manifest is still whole
+    names = many._names()
+    assert sum(n.startswith("manifest") for n in names) == 2 and many.number == 3
+    fs, p = many._at("manifest-000000004.json")
+    out = fs.create(p, True)
+    out.write(bytearray(b'{"buckets": 4, "ver'))
+    out.close()
+    assert get(ledger.Ledger(spark, many.path)) == get(one) and ledger.Ledger(spark, many.path).buckets == 4
+    fs.delete(p, False)
+    fs.delete(many._at("manifest-000000003.json")[1], False)
+    assert sum(r[1] for r in get(ledger.Ledger(spark, many.path))) == 134
+
+
+def test_ledger_splits(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "BUCKET_KEYS", 10)
+    df = pages(spark, [page(i, title=f"T{i}", desc="d") for i in range(100)] + [page(200, title="T1", desc="d")])
+    many = ledger.Ledger(spark, buckets=2)
+    many.update(ledger.keyed(df, ("title", "meta_description")))
+    assert len(many.rows().inputFiles()) > 4 and [r.first_id for r in many.rows().filter("copies = 2").collect()] == [200] and many.rows().count() == 100
 
 
 # --- problem 2 -----------------------------------------------------------------------------------------------------
@@ -339,7 +358,7 @@ def test_stuffed(spark):
 def test_pack(spark, capacity):
     rng = random.Random(capacity)
     sizes = [(i, rng.choice([0, 1, 3, 3, 3, 7, 12, 40, 51, 120, None])) for i in range(400)]
-    got = packing.pack(spark.createDataFrame(sizes, "doc_id long, tokens long"), capacity, salts=3).collect()
+    got = packing.pack(spark.createDataFrame(sizes, "doc_id long, tokens long"), capacity, ranked_rows=20).collect()
     fill, unused, per = collections.Counter(), {}, collections.Counter()
     for r in got:
         fill[r.container] += r.tokens
@@ -448,10 +467,13 @@ def test_spans(spark, seed):
 
 def test_span_blocks(spark, monkeypatch):
     monkeypatch.setattr(spans, "BLOCK", 4)
+    monkeypatch.setattr(spans, "PAIR_BLOCK", 3)
     rng = random.Random(11)
     core = "".join(rng.choice("abcdef") for _ in range(40))
     texts = [(i, "".join(rng.choice("abcdef") for _ in range(30)) + core + "".join(rng.choice("abcdef") for _ in range(30))) for i in range(25)]
     assert {(r[0], r[1]) for r in spans.sharing_pairs(docs(spark, texts), 30).collect()} == brute(texts, 30)[0]
+    texts += [(100 + i, core * (1 + i % 2)) for i in range(20)] + [(7, core[:35] + "z" * 40), (7, core[:35] + "z" * 40)]
+    assert {(r[0], r[1]) for r in spans.sharing_pairs(docs(spark, texts), 30).collect()} == brute(texts, 30)[0]
     assert spans.sharing_pairs(docs(spark, []), 30).count() == 0
 
 
