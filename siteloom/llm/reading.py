@@ -8,9 +8,6 @@ any punctuation or "and", so that strung-together or chopped sentences do not de
 
 from __future__ import annotations
 
-import re
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,9 +17,8 @@ from pyspark.sql import functions as F
 from ..plans.lineage import stored
 from .blocks import classified
 from .language import LanguageFilters, train_filters
-from .lines import count, words_of
-from .residue import judged
-from .stuffing import FLAG_SHARE, FLAG_WORDS, non_prose
+from .lines import Words, count, squeezed, words_of
+from .residue import excluded
 from .words import LANGUAGES
 
 LEVELS = ("easy", "standard", "demanding")
@@ -30,9 +26,8 @@ LISTS = (0.5, 0.3, 0.25, 0.2, 0.15, 0.1, 0.05, 0.02)
 LEAST_SHARE = min(LISTS)
 MIN_WORDS = 60
 MAX_LABELS = 20_000
-_WORD = re.compile(r"[^\W\d_]+")
-_SENTENCE = re.compile(r"[.!?…]+\s|\n")
-_CLAUSE = re.compile(r"[.!?…;:,()\n]|\b(?:and|i|und|et|y|en)\b")
+SENTENCE = r"[.!?…]+\s|\n"
+CLAUSE = r"[.!?…;:,()\n]|(?:^|[^\pL])(?:and|i|und|et|y|en)(?:[^\pL]|$)"
 COLUMNS = tuple(f"outside_{int(c * 100)}" for c in LISTS) + ("known_30", "known_20", "known_10", "sentence", "clause_weighted", "clause", "mean_log", "known_log") + tuple(f"is_{x}" for x in LANGUAGES)
 
 
@@ -43,12 +38,10 @@ def own_texts(pages: DataFrame, links: DataFrame, filters: LanguageFilters, text
 
     def emit(b, k, own, x, at):
         L = k.lines
-        why = judged(b, k, own, x, at)
-        total, part = non_prose(k, own, x, at)
         digits = count(L.flat, r"(?:^| )[^ ]*[0-9]") / np.maximum(k.words, 1)
         sheet = np.bincount(L.page, weights=own & (digits >= 0.25) & (k.words >= 3) & (k.words <= 12) & ~k.ends, minlength=L.n_pages)
         words = np.bincount(L.page, weights=np.where(own, k.words, 0), minlength=L.n_pages)
-        good = (why == 0) & ~((part > FLAG_SHARE) & (total >= FLAG_WORDS)) & (sheet < 2) & (words >= min_words)
+        good = ~excluded(b, k, own, x, at) & (sheet < 2) & (words >= min_words)
         keep = np.flatnonzero(own & good[L.page])
         size = np.bincount(L.page[keep], minlength=L.n_pages)[good]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), L.raw.take(pa.array(keep)).cast(pa.string()))
@@ -61,23 +54,16 @@ def own_texts(pages: DataFrame, links: DataFrame, filters: LanguageFilters, text
 
 
 def _document_words(frames):
-    """Counts of (language, word) over documents, summed within a task before they are shuffled."""
-    counts: Counter = Counter()
-
-    def flush():
-        keys = list(counts)
-        batch = pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "word", "docs"])
-        counts.clear()
-        return batch
-
+    """Counts of (language, word) over documents, summed within a batch before they are shuffled; the word '' counts documents."""
     for b in frames:
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            counts[lang, ""] += 1
-            for w in set(_WORD.findall(text.lower())):
-                counts[lang, w] += 1
-        if len(counts) > 200_000:
-            yield flush()
-    yield flush()
+        langs = b.column("lang").dictionary_encode()
+        lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        w = Words(b.column("text").cast(pa.large_string()))
+        doc, code = w.distinct()
+        n = len(w.names) + 1
+        key, docs = np.unique(np.concatenate([lang[doc] * n + code + 1, lang * n]), return_counts=True)
+        names = pa.concat_arrays([pa.array([""], pa.large_string()), w.names.cast(pa.large_string())])
+        yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(key // n)), names.take(pa.array(key % n)).cast(pa.string()), pa.array(docs, pa.int64())], names=["lang", "word", "docs"])
 
 
 def document_frequencies(texts: DataFrame, least: float = LEAST_SHARE) -> dict[str, dict[str, float]]:
@@ -96,21 +82,49 @@ def document_frequencies(texts: DataFrame, least: float = LEAST_SHARE) -> dict[s
     return out
 
 
-def measures(text: str, lang: str, df: dict[str, float]) -> list[float]:
-    words = _WORD.findall(text.lower())
-    share = np.array([df.get(w, 0.0) for w in words] or [0.0])
-    known = share[share >= LEAST_SHARE]
-    if not len(known):
-        known = np.array([LEAST_SHARE])
-    sentences = [n for n in (len(s.split()) for s in _SENTENCE.split(text)) if n >= 3] or [0]
-    clauses = np.array([n for n in (len(c.split()) for c in _CLAUSE.split(text.lower())) if n] or [1])
-    return [
-        *[float((share < c).mean()) for c in LISTS],
-        *[float((known < c).mean()) for c in (0.3, 0.2, 0.1)],
-        min(float(np.mean(sentences)), 80.0), min(float((clauses**2).sum() / clauses.sum()), 80.0), min(float(clauses.mean()), 80.0),
-        float(np.log(share + 0.001).mean()), float(np.log(known).mean()),
-        *[float(lang == x) for x in LANGUAGES],
-    ]
+def _mean_by(row: np.ndarray, values: np.ndarray, n: int, empty: float) -> np.ndarray:
+    many = np.bincount(row, minlength=n)
+    return np.where(many > 0, np.bincount(row, weights=values, minlength=n) / np.maximum(many, 1), empty)
+
+
+def _stretches(texts: pa.Array, pattern: str, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the text and number of words of each stretch between matches of ``pattern``, from ``least`` words on."""
+    parts = pc.split_pattern_regex(texts, pattern)
+    size = words_of(squeezed(parts.flatten()))
+    keep = size >= least
+    return pc.list_parent_indices(parts).to_numpy(zero_copy_only=False).astype(np.int64)[keep], size[keep].astype(np.float64)
+
+
+def measures(texts: pa.Array, langs: list[str], df: dict[str, dict[str, float]]) -> np.ndarray:
+    """``COLUMNS`` of each text. ``df``: for each language the share of documents that hold a word."""
+    texts = texts.cast(pa.large_string())
+    w, n = Words(texts), len(texts)
+    code = np.array([LANGUAGES.index(x) for x in langs], np.int64)
+    names = w.names.to_pylist()
+    table = np.zeros((len(LANGUAGES), max(len(names), 1)))
+    for i in set(code.tolist()):
+        get = df.get(LANGUAGES[i], {}).get
+        table[i, : len(names)] = [get(x, 0.0) for x in names]
+    share = table[code[w.row], w.code]
+    is_known = share >= LEAST_SHARE
+    known_row, known = w.row[is_known], share[is_known]
+    of_words = lambda values, empty: _mean_by(w.row, values, n, empty)
+    of_known = lambda values, empty: _mean_by(known_row, values, n, empty)
+    row, size = _stretches(texts, SENTENCE, 3)
+    sentence = _mean_by(row, size, n, 0.0)
+    row, size = _stretches(pc.utf8_lower(texts), CLAUSE, 1)
+    clause = _mean_by(row, size, n, 1.0)
+    weighted = np.bincount(row, weights=size**2, minlength=n) / np.maximum(np.bincount(row, weights=size, minlength=n), 1)
+    return np.stack(
+        [
+            *[of_words(share < c, 1.0) for c in LISTS],
+            *[of_known(known < c, 1.0) for c in (0.3, 0.2, 0.1)],
+            np.minimum(sentence, 80), np.minimum(np.maximum(weighted, 1), 80), np.minimum(clause, 80),
+            of_words(np.log(share + 0.001), np.log(0.001)), of_known(np.log(known), np.log(LEAST_SHARE)),
+            *[(code == i).astype(float) for i in range(len(LANGUAGES))],
+        ],
+        1,
+    )
 
 
 class Grades:
@@ -141,8 +155,9 @@ def measured(texts: DataFrame, df: dict[str, dict[str, float]]) -> DataFrame:
 
     def run(frames):
         for b in frames:
-            rows = [measures(t, lang, shared.value.get(lang, {})) for lang, t in zip(b.column("lang").to_pylist(), b.column("text").to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(rows, pa.list_(pa.float64()))], names=["page_id", "measures"])
+            m = measures(b.column("text"), b.column("lang").to_pylist(), shared.value)
+            start = np.arange(len(m) + 1, dtype=np.int32) * len(COLUMNS)
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.ListArray.from_arrays(pa.array(start), pa.array(m.ravel()))], names=["page_id", "measures"])
 
     return texts.mapInArrow(run, "page_id long, measures array<double>")
 
@@ -151,7 +166,7 @@ def reading_levels(pages: DataFrame, links: DataFrame, labels: DataFrame, text:
     """``page_id, reading_level, confidence`` of every page that can be graded and is not in ``labels``.
 
     At most ``max_labels`` graded pages are used for fitting (those with the smallest hashes); word lists come from all
-    pages. Without usable labels there are no rows. Null texts, short texts and pages of other kinds give no rows.
+    pages. Without usable labels there are no rows, nor without pages whose html_lang can teach the languages apart. Null texts, short texts and pages of other kinds give no rows.
     """
     spark = pages.sparkSession
     texts = stored(own_texts(pages, links, train_filters(pages, text), text).filter("lang is not null"), "own-texts")

@@ -274,7 +274,7 @@ def test_reading(spark):
         base = EASY if i % 2 else HARD
         parts = [p for p in re.split(r"(?<=\.) ", base * 4) if p]
         rng.shuffle(parts)
-        rows.append(page(i, f"https://s{i % 5}.example/{i}", f"T{i}", text=f"Heading number {i} of it\n" + " ".join(parts[:14]) + "\n" + " ".join(parts[14:28])))
+        rows.append(page(i, f"https://s{i % 5}.example/{i}", f"T{i}", lang="en", text=f"Heading number {i} of it\n" + " ".join(parts[:14]) + "\n" + " ".join(parts[14:28])))
         if i < 30:
             labels.append((i, "easy" if i % 2 else "demanding"))
     rows += [page(90, text=None), page(91, text="Too short.")]
