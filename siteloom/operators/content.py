@@ -8,18 +8,21 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as X
+from ..plans.lineage import stored
 from ..plans.topk import examples, top
 
 
 def plan(items: DataFrame, months: int = 6, per_month: int = 4) -> DataFrame:
-    """``items(action, title, priority)`` without repeats of action and title (the highest priority stays), ranked and put into months.
+    """``action, title, priority, place, month``: ``items(action, title, priority)`` without repeats of action and title (the highest priority
+    stays). The first ``months x per_month`` have a place and their month; all others follow in the last month, without a place.
 
-    The plan is a report of ``months x per_month`` places and an overflow month: ranks come from a top-k, never a global window over all rows.
+    Places come from a top-k, so no window goes over all rows.
     """
-    once = items.groupBy("action", "title").agg(F.max("priority").alias("priority"))
+    once = stored(items.groupBy("action", "title").agg(F.max("priority").alias("priority")), "plan-items")
     best = once.orderBy(F.desc("priority"), "action", "title").limit(months * per_month)
-    n = F.row_number().over(Window.orderBy(F.desc("priority"), "action", "title"))
-    return best.withColumn("place", n).withColumn("month", F.least(F.lit(months), F.floor((F.col("place") - 1) / per_month) + 1).cast("int"))
+    place = best.withColumn("place", F.row_number().over(Window.orderBy(F.desc("priority"), "action", "title")))
+    month = F.coalesce(F.floor((F.col("place") - 1) / per_month) + 1, F.lit(months)).cast("int")
+    return once.join(F.broadcast(place.drop("priority")), ["action", "title"], "left").select("action", "title", "priority", "place", month.alias("month"))
 
 
 def plan_items(clusters: DataFrame, topics: DataFrame, pages: DataFrame) -> DataFrame:

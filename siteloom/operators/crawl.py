@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,17 +42,18 @@ def seeds(starts: DataFrame, sitemap: DataFrame | None = None) -> DataFrame:
     return s.groupBy("url").agg(F.min("depth").alias("depth"))
 
 
-def expand(start: DataFrame, links: DataFrame, rules: DataFrame | None = None, most: int | None = None, subdomains: bool = False, depth: int = 50) -> DataFrame:
+def expand(start: DataFrame, links: DataFrame, rules: DataFrame | None = None, most: int | None = None, subdomains: bool = False, depth: int | None = None) -> DataFrame:
     """``url, depth`` that a crawl over the link table visits, level by level.
 
     Links leave a page only within its site; ``rules`` (of one agent) admit URLs; at most ``most`` pages are visited:
-    the level that crosses the limit is cut in order of URL. One join and one anti join per level.
+    the level that crosses the limit is cut in order of URL; with ``depth``, links are not followed beyond that depth. One join and one
+    anti join per level, until nothing is left to visit.
     """
     e = links.select(url_canon(F.col("src_url")).alias("src"), url_canon(F.col("href")).alias("dst")).distinct().filter(same_site(F.col("src"), F.col("dst"), subdomains))
     allow = (lambda d: robots.admitted(d, rules).filter("allowed").drop("allowed")) if rules is not None else (lambda d: d)
     e, waiting = stored(e, "crawl-edges"), stored(allow(start.select("url", "depth")), "crawl-seeds")
     seen, done = None, 0
-    for level in range(depth + 1):
+    for level in itertools.count():
         front = waiting.filter(F.col("depth") <= level)
         if seen is not None:
             front = front.join(seen.select("url"), "url", "left_anti")
@@ -59,15 +62,16 @@ def expand(start: DataFrame, links: DataFrame, rules: DataFrame | None = None, m
             front = front.orderBy("url").limit(max(0, most - done))
         front = stored(front, "crawl-front")
         n = front.count()
-        if n == 0 and waiting.filter(F.col("depth") > level).isEmpty():
-            break
         done += n
         seen = front if seen is None else seen.unionByName(front)
+        if level % 10 == 9:
+            seen = stored(seen, "crawl-seen")
+        if (n == 0 and waiting.filter(F.col("depth") > level).isEmpty()) or level == depth:
+            return seen
         new = allow(e.join(front.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()).join(seen.select("url"), "url", "left_anti")
         waiting = stored(waiting.filter(F.col("depth") > level).unionByName(new.withColumn("depth", F.lit(level + 1))), "crawl-waiting")
         if most is not None and done >= most:
-            break
-    return seen
+            return seen
 
 
 def soft_404(probes: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -68,18 +70,22 @@ def _loop(both: DataFrame, rounds: int, damping: float) -> DataFrame:
     return rank
 
 
-def bfs_depth(starts: DataFrame, edges: DataFrame, most: int = 50) -> DataFrame:
-    """``node, depth``: least number of steps from a start node. One join per level; ends when a level brings nothing new."""
-    e = edges.filter("src <> dst").select("src", "dst").distinct()
+def bfs_depth(starts: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """``node, depth``: least number of steps from a start node. One join per level; ends when a level brings nothing new,
+    or, with ``most``, raises where a graph goes on behind that level."""
+    e = stored(edges.filter("src <> dst").select("src", "dst").distinct(), "bfs-edges")
     front = stored(starts.select("node").distinct().withColumn("depth", F.lit(0)), "bfs-0")
     seen = front
-    for depth in range(1, most + 1):
+    for depth in itertools.count(1):
         new = front.join(e, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
         front = stored(new.withColumn("depth", F.lit(depth)), f"bfs-{depth}")
         if front.isEmpty():
-            break
+            return seen
+        if most is not None and depth > most:
+            raise ValueError(f"there are nodes deeper than {most} steps")
         seen = seen.unionByName(front)
-    return seen
+        if depth % 10 == 0:
+            seen = stored(seen, "bfs-seen")
 
 
 def undirected_weights(edges: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as X
+from ..plans.lineage import stored
+from ..plans.skew import lookup
 from ..plans.topk import top
 
 
@@ -17,12 +19,14 @@ def term_counts(docs: DataFrame, doc: str, text: Column) -> DataFrame:
 
 def tfidf(docs: DataFrame, doc: str, text: Column) -> DataFrame:
     """``doc, term, tf, df, weight``: tf x (ln((N + 1) / (df + 1)) + 1), each document scaled to length 1. Empty documents have no rows."""
-    tf = term_counts(docs, doc, text)
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = docs.count()
-    raw = tf.join(df, "term").select("doc", "term", "tf", "df", (F.col("tf") * (F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1)).alias("w"))
-    norm = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return raw.join(norm, "doc").select("doc", "term", "tf", "df", (F.col("w") / F.col("norm")).alias("weight"))
+    tf = stored(term_counts(docs, doc, text), "term-counts")  # tokenised once
+    df = stored(tf.groupBy("term").agg(F.count("*").alias("df")), "term-documents").withColumn("uses", F.col("df"))
+    n, total = docs.count(), df.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    # terms that very many documents hold are broadcast and their rows stay spread over the documents
+    known = lookup(tf, df, ["term"], ["df"], "uses", max(total, 1), F.col("doc"))
+    raw = known.select("doc", "term", "tf", "df", (F.col("tf") * (F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1)).alias("w"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+    return raw.select("doc", "term", "tf", "df", (F.col("w") / norm).alias("weight"))
 
 
 def top_terms(weights: DataFrame, k: int = 5) -> DataFrame:

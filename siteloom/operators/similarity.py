@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import text as X
 from ..plans.lineage import stored
+from ..plans.skew import lookup
+from ..plans.topk import top
 
 
 def classes(docs: DataFrame, doc: str, items: Column) -> tuple[DataFrame, DataFrame]:
@@ -31,8 +33,10 @@ def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
     n - ceil(least x n) + 1 items; so only rare items meet, and the sizes of the sets must fit. No item is skipped.
     """
     items = sets.select("class_id", F.size("items").alias("n"), F.explode("items").alias("item"))
-    freq = items.groupBy("item").agg(F.count("*").alias("df"))
-    ordered = items.join(freq, "item").groupBy("class_id", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "item"))), lambda x: x["item"]).alias("items"))
+    freq = stored(items.groupBy("item").agg(F.count("*").alias("df")), "item-sets-per-item").withColumn("uses", F.col("df"))
+    total = freq.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    known = lookup(items, freq, ["item"], ["df"], "uses", max(total, 1), F.col("class_id"))
+    ordered = known.groupBy("class_id", "n").agg(F.transform(F.sort_array(F.collect_list(F.struct("df", "item"))), lambda x: x["item"]).alias("items"))
     ordered = stored(ordered, "ordered-sets")
     keep = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1
     prefix = ordered.select("class_id", "n", F.posexplode(F.slice("items", F.lit(1), keep.cast("int"))).alias("pos", "item"))
@@ -83,41 +87,42 @@ def cannibal_members(pages: DataFrame, doc: str, title: Column, h1: Column, leas
     return members.join(ends, "class_id", "left").select("doc", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
+def _matrix(ids: list, vectors: list) -> tuple[np.ndarray, np.ndarray]:
+    m = np.array(vectors, np.float64).reshape(len(ids), -1)
+    return np.array(ids, np.int64), m / np.linalg.norm(m, axis=1, keepdims=True)
+
+
 def dense_neighbours(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
     """``query_id, vec_id, rank, cosine``: exact nearest vectors of a stated query set, in blocks of matrix products.
 
-    ``queries`` (vec_id, embedding) are sent to the tasks in blocks of ``block``; each task keeps ``k`` per query, so only
-    k rows per query and partition are shuffled. Null and zero vectors are left out; a vector is not its own neighbour.
+    Vectors and ``queries`` (vec_id, embedding) become rows of up to ``block`` vectors each; every block of vectors meets every block of
+    queries once, in one matrix product that keeps ``k`` rows per query. Nothing passes through the driver. Null and
+    zero vectors are left out; a vector is not its own neighbour.
     """
-    spark = vectors.sparkSession
-    clean = lambda d: d.filter(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0))
-    ids = clean(queries).select("vec_id", "embedding")
-    numbered = ids.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(max(1, -(-ids.count() // block)))))
-    out = None
-    for (b,) in numbered.select("block").distinct().collect():
-        rows = numbered.filter(F.col("block") == b).collect()
-        qid = np.array([r.vec_id for r in rows])
-        q = np.array([r.embedding for r in rows], np.float64)
-        shared = spark.sparkContext.broadcast((qid, q / np.linalg.norm(q, axis=1, keepdims=True)))
-
-        def run(frames, shared=shared):
-            qid, q = shared.value
-            best_s, best_i = np.full((len(qid), k), -2.0), np.full((len(qid), k), -1, np.int64)
-            for f in frames:
-                ids = f.column(0).to_numpy(zero_copy_only=False)
-                m = np.array(f.column(1).to_pylist(), np.float64).reshape(len(ids), -1)
-                s = q @ (m / np.linalg.norm(m, axis=1, keepdims=True)).T
+    clean = lambda d: d.filter(F.col("embedding").isNotNull() & F.exists("embedding", lambda x: x != 0)).select("vec_id", "embedding")
+
+    def packed(frames):
+        for f in frames:
+            for start in range(0, f.num_rows, block):
+                c = f.slice(start, block)
+                ids, m = _matrix(c.column(0).to_pylist(), c.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([pa.array([ids], pa.list_(pa.int64())), pa.array([m.tobytes()], pa.binary())], names=["ids", "m"])
+
+    q = stored(clean(queries).mapInArrow(packed, "ids array<long>, m binary"), "query-blocks")
+    v = stored(clean(vectors).mapInArrow(packed, "ids array<long>, m binary"), "vector-blocks")
+    met = v.crossJoin(q.select(F.col("ids").alias("qids"), F.col("m").alias("qm")))
+
+    def run(frames):
+        for f in frames:
+            for i in range(f.num_rows):
+                ids, qid = (np.array(f.column(c)[i].as_py(), np.int64) for c in (0, 2))
+                m, qm = (np.frombuffer(f.column(c)[i].as_py(), np.float64).reshape(n, -1) for c, n in ((1, len(ids)), (3, len(qid))))
+                s = qm @ m.T
                 s[qid[:, None] == ids[None, :]] = -2
-                s, i = np.concatenate([best_s, s], 1), np.concatenate([best_i, np.broadcast_to(ids, s.shape)], 1)
-                o = np.lexsort((i, -np.round(s, 12)), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, o, 1), np.take_along_axis(i, o, 1)
-            keep = best_i >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, keep.sum(1))), pa.array(best_i[keep]), pa.array(best_s[keep])], names=["query_id", "vec_id", "cosine"])
-
-        part = clean(vectors).select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, cosine double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, vec_id long, cosine double, rank int")
-    from ..plans.topk import top
+                o = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 12)), axis=1)[:, :k]
+                best, at = np.take_along_axis(s, o, 1), ids[o]
+                keep = best > -2
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, keep.sum(1))), pa.array(at[keep]), pa.array(best[keep])], names=["query_id", "vec_id", "cosine"])
 
+    out = met.mapInArrow(run, "query_id long, vec_id long, cosine double")
     return top(out.withColumn("cosine", F.round("cosine", 6)), ["query_id"], [F.desc("cosine"), F.col("vec_id")], k)

@@ -58,14 +58,20 @@ def redirect_targets(links: DataFrame, fetches: DataFrame) -> DataFrame:
     return link_targets(links, fetches).filter((F.col("hops") > 0) & (F.col("status") > 0) & (F.col("status") < 400)).select("target", "hops", "sources")
 
 
+def with_noindex(pages: DataFrame, fetches: DataFrame) -> DataFrame:
+    """``pages`` with ``noindex``: whether an answer to the page's fetch forbade indexing in its headers."""
+    said = fetches.groupBy("url", "fetched_at").agg(F.bool_or(F.coalesce(F.lower(F.col("headers").getItem("x-robots-tag")).contains("noindex"), F.lit(False))).alias("noindex"))
+    return pages.join(said, ["url", "fetched_at"], "left").withColumn("noindex", F.coalesce("noindex", F.lit(False)))
+
+
 def sitemap_not_indexable(pages: DataFrame, sitemap: DataFrame) -> DataFrame:
-    """Pages that the sitemap lists although they do not answer 2xx."""
-    return pages.join(sitemap.select(url_norm(F.col("url")).alias("__u")).distinct(), url_norm(F.col("url")) == F.col("__u"), "left_semi").filter("status < 200 or status >= 300").select("page_id", "url", "status")
+    """Pages (with ``noindex``) that the sitemap lists although they do not answer 2xx or must not be indexed."""
+    return pages.join(sitemap.select(url_norm(F.col("url")).alias("__u")).distinct(), url_norm(F.col("url")) == F.col("__u"), "left_semi").filter("status < 200 or status >= 300 or noindex").select("page_id", "url", "status")
 
 
 def outside_sitemap(pages: DataFrame, sitemap: DataFrame) -> DataFrame:
-    """Indexable pages that the sitemap does not list."""
-    return indexable(pages).join(sitemap.select(url_norm(F.col("url")).alias("__u")).distinct(), url_norm(F.col("url")) == F.col("__u"), "left_anti").select("page_id", "url")
+    """Indexable pages (with ``noindex``) that the sitemap does not list."""
+    return indexable(pages).filter("not noindex").join(sitemap.select(url_norm(F.col("url")).alias("__u")).distinct(), url_norm(F.col("url")) == F.col("__u"), "left_anti").select("page_id", "url")
 
 
 def missing_return_edges(edges: DataFrame) -> DataFrame:
@@ -114,14 +120,16 @@ def external_targets(links: DataFrame, sources: int = 5) -> DataFrame:
     return out.groupBy("href").agg(F.count("*").alias("links")).join(examples(out.select("href", "src_url").distinct(), ["href"], "src_url", sources), "href")
 
 
-def top_share(df: DataFrame, value: Column, part: float = 0.75) -> DataFrame:
-    """Rows with the value that stands at index floor(part x n) of the descending order: the cut of weak pages."""
-    n = df.count()
-    if n <= 4:
-        return df.withColumn("cut", F.lit(0))
-    at = int(part * n)
-    cut = df.select(value.alias("v")).orderBy(F.desc("v")).offset(at).limit(1).first()[0]
-    return df.withColumn("cut", F.lit(cut))
+def weak_important(ranked: DataFrame, part: float = 0.75, below: int = 40, depth: int = 1) -> DataFrame:
+    """Pages near the top of their site that few links strengthen: ``ranked(site, node, scaled, depth)`` at depth ``depth`` or less,
+    with a scaled rank below ``below`` and not above the site's cut, which is the value at place floor(part x n) of the descending order (0 for
+    sites of up to four pages). The cut comes from a histogram: a site has at most 101 scaled ranks."""
+    hist = ranked.groupBy("site", "scaled").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy("site").orderBy(F.desc("scaled")))
+    n = F.sum("c").over(Window.partitionBy("site"))
+    at = hist.select("site", "scaled", upto.alias("upto"), n.alias("n")).filter(F.col("upto") > F.floor(F.col("n") * part))
+    cut = at.groupBy("site").agg(F.when(F.max("n") > 4, F.max("scaled")).otherwise(0).alias("cut"))
+    return ranked.join(cut, "site").filter((F.col("depth") <= depth) & (F.col("scaled") <= F.col("cut")) & (F.col("scaled") < below)).select("site", "node", "scaled", "depth")
 
 
 def domain_flags(fetches: DataFrame) -> DataFrame:

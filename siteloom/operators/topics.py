@@ -150,13 +150,16 @@ def completeness(terms: DataFrame, share: float = 0.4, most: int = 30, missing:
 def content_gap(theirs: DataFrame, ours: DataFrame, least: float = dims.GAP_JACCARD) -> DataFrame:
     """``topic, best, similarity, kind``: each of their topics with our most similar one; below ``least`` it is missing.
 
-    Both sides ``topic, words`` (arrays). Found by equi-join on words: topics that share none have similarity 0.
+    Both sides ``topic, words`` (arrays). Topics of the same words are compared once. Found by equi-join on words: topics
+    that share none have similarity 0.
     """
-    t, o = theirs.select("topic", F.array_distinct("words").alias("w")), ours.select(F.col("topic").alias("ours"), F.array_distinct("words").alias("ow"))
+    sets = lambda d, name: d.groupBy(F.array_sort(F.array_distinct("words")).alias("w")).agg(F.min("topic").alias(name))
+    t, o = sets(theirs, "topic"), sets(ours, "ours").withColumnRenamed("w", "ow")
     met = t.select("topic", F.size("w").alias("n"), F.explode("w").alias("x")).join(o.select("ours", F.size("ow").alias("m"), F.explode("ow").alias("x")), "x").groupBy("topic", "ours", "n", "m").agg(F.count("*").alias("both"))
     best = top(met.withColumn("similarity", F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6)), ["topic"], [F.desc("similarity"), F.col("ours")], 1)
     s = F.coalesce("similarity", F.lit(0.0))
-    return theirs.select("topic").join(best.select("topic", "ours", "similarity"), "topic", "left").select("topic", F.when(s >= least, F.col("ours")).alias("best"), s.alias("similarity"), F.when(s < least, "missing").otherwise("covered").alias("kind"))
+    named = theirs.select("topic", F.array_sort(F.array_distinct("words")).alias("w")).join(t.withColumnRenamed("topic", "same"), "w")
+    return named.join(best.select(F.col("topic").alias("same"), "ours", "similarity"), "same", "left").select("topic", F.when(s >= least, F.col("ours")).alias("best"), s.alias("similarity"), F.when(s < least, "missing").otherwise("covered").alias("kind"))
 
 
 def topic_documents(pages: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import urls as U
 from ..operators import graph, history, similarity, site
+from ..plans.lineage import stored
 from ..plans.topk import top
 from ..sources import robots
 from ..sources.tables import spread, table
@@ -45,11 +46,11 @@ def _sitemap(s: SparkSession, d: str) -> DataFrame:
 
 
 def sitemap_not_indexable(s: SparkSession, d: str) -> DataFrame:
-    return site.sitemap_not_indexable(table(s, d, "page_facts"), _sitemap(s, d))
+    return site.sitemap_not_indexable(site.with_noindex(table(s, d, "page_facts"), table(s, d, "fetches")), _sitemap(s, d))
 
 
 def pages_outside_sitemap(s: SparkSession, d: str) -> DataFrame:
-    return site.outside_sitemap(table(s, d, "page_facts"), _sitemap(s, d))
+    return site.outside_sitemap(site.with_noindex(table(s, d, "page_facts"), table(s, d, "fetches")), _sitemap(s, d))
 
 
 def _edges(s: SparkSession, d: str) -> DataFrame:
@@ -148,11 +149,22 @@ def page_rank(s: SparkSession, d: str) -> DataFrame:
     return r.select("site", "node", F.round("rank", 9).alias("rank"))
 
 
-def weak_pages(s: SparkSession, d: str) -> DataFrame:
-    """Top-k report: the eight strongest pages of each site by PageRank, scaled to 100."""
-    r = page_rank(s, d)
+def _scaled(s: SparkSession, d: str) -> DataFrame:
+    """PageRank of each site's pages, scaled to 100 for its strongest."""
+    r = stored(page_rank(s, d), "page-rank")
     most = r.groupBy("site").agg(F.max("rank").alias("m"))
-    return top(r, ["site"], [F.desc("rank"), F.col("node")], 8).join(most, "site").select("site", "node", "rank", F.round(F.col("rank") * 100 / F.col("m") - 1e-7).cast("long").alias("scaled")).select("site", "node", "scaled")
+    return r.join(most, "site").select("site", "node", "rank", F.round(F.col("rank") * 100 / F.col("m") - 1e-7).cast("long").alias("scaled"))
+
+
+def strong_pages(s: SparkSession, d: str) -> DataFrame:
+    """Top-k report: the eight strongest pages of each site."""
+    return top(_scaled(s, d), ["site"], [F.desc("rank"), F.col("node")], 8).select("site", "node", "scaled")
+
+
+def weak_pages(s: SparkSession, d: str) -> DataFrame:
+    """Pages at depth 0 or 1 that the links of their site leave weak."""
+    depth = site.indexable(table(s, d, "page_facts")).groupBy(U.site_of(F.col("url")).alias("site"), U.url_norm(F.col("url")).alias("node")).agg(F.min("depth").alias("depth"))
+    return site.weak_important(_scaled(s, d).join(depth, ["site", "node"]))
 
 
 def bfs_depth(s: SparkSession, d: str) -> DataFrame:
@@ -216,7 +228,7 @@ def progress_log(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (duplicate_titles, duplicate_descriptions, link_in_degrees, orphan_pages, broken_targets, redirect_targets, sitemap_not_indexable, pages_outside_sitemap, missing_return_links, redirect_chains, trust_pages, depth_histogram, site_stats, external_targets, domain_flags, site_issues, advised_issues, crawl_frontier, kept_html_facts, near_duplicate_pages, near_duplicate_documents, cannibal_pages, cannibal_members, page_rank, weak_pages, bfs_depth, undirected_links, embedding_neighbours, history_projects, history_deltas, history_retained, history_issue_changes, robots_admission, progress_windows, progress_sessions, progress_log)
+    for f in (duplicate_titles, duplicate_descriptions, link_in_degrees, orphan_pages, broken_targets, redirect_targets, sitemap_not_indexable, pages_outside_sitemap, missing_return_links, redirect_chains, trust_pages, depth_histogram, site_stats, external_targets, domain_flags, site_issues, advised_issues, crawl_frontier, kept_html_facts, near_duplicate_pages, near_duplicate_documents, cannibal_pages, cannibal_members, page_rank, strong_pages, weak_pages, bfs_depth, undirected_links, embedding_neighbours, history_projects, history_deltas, history_retained, history_issue_changes, robots_admission, progress_windows, progress_sessions, progress_log)
 }
 
 _SITE, _NORM = S.site("url"), S.norm("url")
@@ -259,6 +271,8 @@ def _near(key: str, text: str, source: str, k: int = dims.SHINGLE, least: float
 
 _RUNS = r"r as (select * replace (regexp_replace(lower(trim(domain)), '^www\.', '') as domain) from audit_runs qualify row_number() over (partition by audit_id) = 1), o as (select *, row_number() over (partition by domain order by generated_at desc nulls last, audit_id desc) as k, count(*) over (partition by domain) as audits from r)"
 _P = S.path("url")
+_NOINDEX = "ni as (select url, fetched_at, bool_or(coalesce(contains(lower(headers['x-robots-tag']), 'noindex'), false)) as noindex from fetches group by 1, 2), pn as (select page_facts.*, coalesce(noindex, false) as noindex from page_facts left join ni using (url, fetched_at))"
+_SCALED = f"sc as (select site, node, round(rank, 9) as rank, cast(round(round(rank, 9) * 100 / max(round(rank, 9)) over (partition by site) - 1e-7) as bigint) as scaled from r{dims.PAGERANK_ROUNDS})"
 ORACLES = {
     "duplicate_titles": _dup("title"),
     "duplicate_descriptions": _dup("meta_description"),
@@ -266,8 +280,12 @@ ORACLES = {
     "orphan_pages": f"with {_DEGREES} select url from g where in_degree = 0 and url not in (select {S.norm('start_url')} from audit_runs)",
     "broken_targets": f"with {_STATUS} select target, status, sources from tg where status >= 400 or status = 0",
     "redirect_targets": f"with {_STATUS} select target, hops, sources from tg where hops > 0 and status > 0 and status < 400",
-    "sitemap_not_indexable": f"select page_id, url, status from page_facts where not ({_OK}) and {_NORM} in ({_MAP})",
-    "pages_outside_sitemap": f"select page_id, url from page_facts where {_OK} and {_NORM} not in ({_MAP})",
+    "sitemap_not_indexable": f"with {_NOINDEX} select page_id, url, status from pn where (not ({_OK}) or noindex) and {_NORM} in ({_MAP})",
+    "pages_outside_sitemap": f"with {_NOINDEX} select page_id, url from pn where {_OK} and not noindex and {_NORM} not in ({_MAP})",
+    "strong_pages": f"with {_RANK}, {_SCALED} select site, node, scaled from sc qualify row_number() over (partition by site order by rank desc, node) <= 8",
+    "weak_pages": f"""with {_RANK}, {_SCALED}, dp as (select {S.site('url')} as site, {_NORM} as node, min(depth) as depth from page_facts where {_OK} group by 1, 2),
+ cu as (select site, list(scaled order by scaled desc) as l from sc group by site), ct as (select site, case when len(l) > 4 then l[cast(floor(len(l) * 0.75) as int) + 1] else 0 end as cut from cu)
+ select site, node, scaled, cast(depth as int) as depth from sc join dp using (site, node) join ct using (site) where depth <= 1 and scaled <= cut and scaled < 40""",
     "missing_return_links": f"with {_E} select a.src, a.dst from e a where a.dst in (select src from e) and not exists (select 1 from e b where b.src = a.dst and b.dst = a.src)",
     "redirect_chains": "with h as (select unnest(redirect_chain) as h from fetches), m as (select distinct h.from_url as src, h.to_url as dst from h where h.from_url <> h.to_url) select a.src, a.dst as middle, b.dst as last from m a join m b on a.dst = b.src where a.src <> b.dst or b.dst <> a.dst",
     "trust_pages": f"with t as (select {_SITE} as site, lower(url) as t from page_facts union all select {S.site('src_url')}, lower(concat_ws(' ', href, text)) from links where internal) select site, " + ", ".join(f"bool_or(regexp_matches(t, '{p}')) as {k}" for k, p in dims.TRUST.items()) + " from t group by site",

@@ -66,7 +66,7 @@ def page_type_histogram(s: SparkSession, d: str) -> DataFrame:
 
 
 def _topic_parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    h = table(s, d, "headings").groupBy("url").agg(F.array_join(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("level", "pos", "text"))), lambda x: x["text"]), 1, 15), " ").alias("headings"))
+    h = table(s, d, "headings").groupBy("url").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("level", "pos", "text"))), lambda x: x["text"]), " ").alias("headings"))
     pages = site.indexable(_typed(s, d)).filter(F.col("type").isin("blog", "service", "product", "category", "location", "page")).join(h, "url", "left")
     docs = spread(stored(topics.topic_documents(pages), "topic-texts"))
     w = ir.tfidf(docs, "doc", F.col("text")).join(docs.select("doc", "site"), "doc")
@@ -98,30 +98,25 @@ def completeness(s: SparkSession, d: str) -> DataFrame:
 
 
 def content_gap(s: SparkSession, d: str) -> DataFrame:
-    """Words of the titles of the largest site's pages against those of the second: which pages' subjects it lacks."""
-    p = table(s, d, "page_facts").withColumn("site", site_of(F.col("url")))
-    two = [r[0] for r in p.groupBy("site").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "site").limit(2).collect()]
-    side = lambda name: p.filter(F.col("site") == name).select(F.col("page_id").alias("topic"), F.array_distinct(X.tokens(F.col("title"))).alias("words")).filter(F.size("words") > 0)
-    return topics.content_gap(side(two[-1]), side(two[0])).withColumn("best", F.col("best").cast("string"))
+    """Words of the titles of the largest site's pages against those of all other sites: which pages' subjects it lacks."""
+    p = stored(table(s, d, "page_facts").select(site_of(F.col("url")).alias("site"), F.col("page_id").alias("topic"), F.array_distinct(X.tokens(F.col("title"))).alias("words")), "title-words")
+    first = p.groupBy("site").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "site").limit(1).select("site")
+    side = lambda how: p.join(F.broadcast(first), "site", how).filter(F.size("words") > 0).select("topic", "words")
+    return topics.content_gap(side("left_anti"), side("left_semi")).withColumn("best", F.col("best").cast("string"))
 
 
 def _keywords(s: SparkSession, d: str) -> DataFrame:
-    """Phrases to match: texts of first headings and of question headings, and product anchors."""
+    """Phrases to match: first and second headings, and the texts of internal links."""
     h = table(s, d, "headings").filter("level <= 2").select(F.col("text").alias("keyword"))
     a = table(s, d, "links").filter("internal and length(trim(text)) > 3").select(F.col("text").alias("keyword"))
     return h.unionByName(a).distinct()
 
 
 def _keyword_pages(s: SparkSession, d: str) -> DataFrame:
-    hs = table(s, d, "headings").groupBy("url").agg(F.min_by("text", F.struct("level", "pos", "text")).alias("h1"), F.array_join(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("level", "pos", "text"))), lambda x: x["text"]), 1, 15), " ").alias("headings"))
+    hs = table(s, d, "headings").groupBy("url").agg(F.min_by("text", F.struct("level", "pos", "text")).alias("h1"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("level", "pos", "text"))), lambda x: x["text"]), " ").alias("headings"))
     return spread(site.indexable(table(s, d, "page_facts")).join(hs, "url", "left"))
 
 
-def _phrases(s: SparkSession, d: str) -> DataFrame:
-    """Keyword list for matching: the second-level headings."""
-    return table(s, d, "headings").filter("level = 2").select(F.col("text").alias("keyword")).distinct()
-
-
 def keyword_intents(s: SparkSession, d: str) -> DataFrame:
     return keywords.intents(_keywords(s, d))
 
@@ -135,7 +130,7 @@ def keyword_profiles(s: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_best_pages(s: SparkSession, d: str) -> DataFrame:
-    return keywords.best_pages(_phrases(s, d), _keyword_pages(s, d))
+    return keywords.best_pages(_keywords(s, d).filter("keyword is not null"), _keyword_pages(s, d))
 
 
 def keyword_assignments(s: SparkSession, d: str) -> DataFrame:
@@ -176,11 +171,13 @@ def weakest_texts(s: SparkSession, d: str) -> DataFrame:
 
 
 def content_plan(s: SparkSession, d: str) -> DataFrame:
-    """A plan of half a year from unmatched keywords: a bounded report."""
-    un = keyword_best_pages(s, d).filter("not assigned").select(F.col("keyword").alias("title"), keywords.intent(F.col("keyword")).alias("intent"), keywords.is_local(F.col("keyword")).alias("local"), F.lit(1).alias("keywords"))
+    """New pages for clusters of unmatched keywords, pillars for topics that lack one, expansions of incomplete texts, by month."""
+    un = stored(keyword_best_pages(s, d).filter("not assigned").select("keyword"), "unmatched")
+    of = keywords.clusters(un).groupBy("cluster").agg(F.count("*").alias("keywords"), F.bool_or(keywords.is_local(F.col("keyword"))).alias("local"))
+    new = of.select(F.col("cluster").alias("title"), keywords.intent(F.col("cluster")).alias("intent"), "local", "keywords")
     few = completeness(s, d).select(F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("title"), "completeness")
-    none = s.createDataFrame([], "label string, size int, has_pillar boolean")
-    return content.plan(content.plan_items(un, none, few)).select("action", "title", F.round("priority", 6).alias("priority"), "place", "month")
+    pillars = topic_metrics(s, d).select(F.concat_ws(": ", "site", "label").alias("label"), "size", "has_pillar")
+    return content.plan(content.plan_items(new, pillars, few)).select("action", "title", F.round("priority", 6).alias("priority"), "place", "month")
 
 
 def brief_outlines(s: SparkSession, d: str) -> DataFrame:
@@ -213,17 +210,17 @@ _KW = "k as (select text as keyword from headings where level <= 2 union select
 _KN = S.clean("keyword")
 _LOCAL = f"(regexp_matches({_KN}, '(^| )({dims.CITIES}|{dims.LOCAL_CUES})( |$)') or regexp_matches(keyword, '\\s[{dims.CAPITAL}][{dims.SMALL}]+'))"
 _KTOK = lambda c: S.tokens(c, dims.KEYWORD_STOP, 2, dims.KEYWORD_SUFFIXES)
-_HS = "hs as (select url, arg_min(text, row(level, pos, text)) as h1, array_to_string(list(text order by level, pos, text)[1:15], ' ') as headings from headings group by url)"
+_HS = "hs as (select url, arg_min(text, row(level, pos, text)) as h1, array_to_string(list(text order by level, pos, text), ' ') as headings from headings group by url)"
 _SLUG = f"regexp_replace({S.path('url')}, '[-_/]', ' ', 'g')"
 _FIELDS = f"""{_HS}, pg as (select page_facts.*, h1, headings from page_facts left join hs using (url) where status >= 200 and status < 300), fl as (
   select page_id, 'url' as field, 4 as w, {_SLUG} as text from pg union all select page_id, 'title', 5, title from pg union all select page_id, 'h1', 4, h1 from pg
   union all select page_id, 'headings', 2, headings from pg union all select page_id, 'description', 3, meta_description from pg union all select page_id, 'body', 1, body_sample from pg),
  ft as (select page_id, field, w, {_KTOK("text")} as toks from fl), pf as (select page_id, token, max(w) as weight from (select page_id, w, unnest(list_distinct(toks)) as token from ft) group by 1, 2)"""
 _BONUS = "case " + " ".join(f"when f_{k} then {v}" for k, v in dims.PHRASE_BONUS.items()) + " else 0 end"
-_BEST = f"""{_FIELDS}, ph as (select distinct text as keyword from headings where level = 2), kt as (select keyword, {_KTOK("keyword")} as toks from ph), ku as (select keyword, len(toks) as n, array_to_string(toks, ' ') as phrase, unnest(toks) as token from kt),
+_BEST = f"""{_FIELDS}, {_KW}, ph as (select distinct keyword from k where keyword is not null), kt as (select keyword, {_KTOK("keyword")} as toks from ph), ku as (select keyword, len(toks) as n, array_to_string(toks, ' ') as phrase, unnest(toks) as token from kt),
  hit as (select keyword, phrase, n, page_id, count(*) as covered, sum(weight) as weight from ku join pf using (token) group by 1, 2, 3, 4),
  pn as (select page_id, field, array_to_string(toks, ' ') as s from ft), pw as (select page_id, {", ".join(f"max(case when field = '{k}' then s end) as s_{k}" for k in dims.PHRASE_BONUS)} from pn group by 1),
- sc as (select keyword, page_id, covered, n, weight, {", ".join(f"contains(s_{k}, phrase) as f_{k}" for k in dims.PHRASE_BONUS)} from hit join pw using (page_id)),
+ sc as (select keyword, page_id, covered, n, weight, {", ".join(f"contains(' ' || s_{k} || ' ', ' ' || phrase || ' ') as f_{k}" for k in dims.PHRASE_BONUS)} from hit join pw using (page_id)),
  sd as (select keyword, page_id, cast(least(100, round({_BONUS} + covered / n * (weight / (n * 5)) * 45)) as bigint) as score from sc),
  be as (select keyword, page_id, score from sd qualify row_number() over (partition by keyword order by score desc, page_id) = 1),
  bp as (select ph.keyword, page_id, score, case when score >= 60 then 'strong' when score >= 40 then 'medium' when score >= 25 then 'weak' else 'none' end as confidence, coalesce(score, 0) >= {dims.ASSIGN_AT} as assigned from ph left join be using (keyword))"""
@@ -251,7 +248,7 @@ ORACLES = {
  j as (select d.source, d.doc_id, w.term, w.rank, t.term is not null as has from d join w using (source) left join t on t.source = d.source and t.doc_id = d.doc_id and t.term = w.term)
  select source, doc_id, count(*) as expected, count(*) filter (has) as covered, cast(round(count(*) filter (has) * 100 / count(*)) as bigint) as completeness, coalesce(array_to_string((list(term order by rank) filter (not has))[1:15], ' '), '') as missing from j group by 1, 2""",
     "content_gap": f"""with s as (select page_id, {S.site('url')} as site, list_distinct({S.tokens('title')}) as w from page_facts), o as (select site, row_number() over (order by count(*) desc, site) as k from s group by site),
- t as (select page_id as topic, w from s join o using (site) where k = 2 and len(w) > 0), u as (select page_id as ours, w as ow from s join o using (site) where k = 1 and len(w) > 0),
+ t as (select page_id as topic, w from s join o using (site) where k >= 2 and len(w) > 0), u as (select page_id as ours, w as ow from s join o using (site) where k = 1 and len(w) > 0),
  p as (select topic, ours, round(len(list_intersect(w, ow)) / (len(w) + len(ow) - len(list_intersect(w, ow))), 6) as similarity from t join u on list_has_any(w, ow)),
  b as (select * from p qualify row_number() over (partition by topic order by similarity desc, ours) = 1)
  select t.topic, case when coalesce(similarity, 0) >= {dims.GAP_JACCARD} then cast(ours as varchar) end as best, coalesce(similarity, 0) as similarity, case when coalesce(similarity, 0) < {dims.GAP_JACCARD} then 'missing' else 'covered' end as kind from t left join b using (topic)""",

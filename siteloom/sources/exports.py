@@ -86,12 +86,13 @@ def checklist(issues: DataFrame, rollup: DataFrame, scores: DataFrame) -> bytes:
     return xlsx({"Scores": rows(scores), "Issues": table, "Pages": rows(issues)}, {"Issues": {len(grouped[0]): ["open", "in progress", "done"]}})
 
 
-def html_report(title: str, tables: dict[str, DataFrame], most: int = 500) -> str:
-    """One page with a table for each entry; each shows up to ``most`` rows."""
+def html_report(title: str, tables: dict[str, DataFrame], most: int | None = None) -> str:
+    """One page with a table for each entry. With ``most``, tables are cut there and say how many rows they have."""
     parts = [f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]
     for name, df in tables.items():
-        got = df.limit(most).collect()
+        got = (df if most is None else df.limit(most)).toLocalIterator()
         head = "".join(f"<th>{html.escape(c)}</th>" for c in df.columns)
         body = "".join("<tr>" + "".join(f"<td>{html.escape('' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in got)
-        parts.append(f"<h2>{html.escape(name)}</h2><table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>")
+        whole = "" if most is None else f"<p>{most} of {df.count()} rows at most</p>"
+        parts.append(f"<h2>{html.escape(name)}</h2>{whole}<table><thead><tr>{head}</tr></thead><tbody>{body}</tbody></table>")
     return "".join(parts)

@@ -4,6 +4,7 @@ import glob
 import os
 
 import duckdb
+import pandas as pd
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -17,7 +18,7 @@ def connection(folder=FOLDER):
 
 
 def value(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return ""
     if isinstance(v, bool):
         return str(v)

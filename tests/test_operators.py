@@ -77,6 +77,24 @@ def test_bfs(spark):
     assert {(r.node, r.depth) for r in graph.bfs_depth(spark.createDataFrame([("a",)], "node string"), e).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def test_deep_chains(spark):
+    n = 51  # deeper than any former limit
+    e = spark.createDataFrame([(f"https://s.example/{i}", f"https://s.example/{i + 1}") for i in range(n)], "src string, dst string")
+    start = spark.createDataFrame([("https://s.example/0",)], "node string")
+    assert {r.node: r.depth for r in graph.bfs_depth(start, e).collect()} == {f"https://s.example/{i}": i for i in range(n + 1)}
+    with pytest.raises(ValueError):
+        graph.bfs_depth(start, e, most=3)
+    links, seeds = e.select(F.col("src").alias("src_url"), F.col("dst").alias("href")), crawl.seeds(start.select(F.col("node").alias("url")))
+    assert crawl.expand(seeds, links).agg(F.max("depth")).first()[0] == n
+    assert crawl.expand(seeds, links, depth=2).count() == 3
+
+
+def test_weak_important(spark):
+    r = spark.createDataFrame([("s", f"n{i}", v, i % 2) for i, v in enumerate((100, 60, 39, 30, 20, 10, 10, 5))] + [("t", "x", 100, 0), ("t", "y", 0, 1), ("t", "z", 3, 1)], "site string, node string, scaled long, depth int")
+    # eight pages: place 6 of the descending order holds 10
+    assert {(x.site, x.node) for x in site.weak_important(r).collect()} == {("s", "n5"), ("s", "n6"), ("s", "n7"), ("t", "y")}
+
+
 @pytest.mark.parametrize("least", [0.6, 0.8])
 def test_jaccard_join(spark, least):
     rng = random.Random(2)
@@ -187,8 +205,8 @@ def test_content(spark):
     df = spark.createDataFrame([("g", v) for v in (1, 2, 3, 4)] + [("h", 7)], "k string, v int")
     assert {r.k: r.median for r in content.upper_median(df, ["k"], "v").collect()} == {"g": 3, "h": 7}
     items = spark.createDataFrame([("new page", f"t{i}", float(i)) for i in range(10)] + [("new page", "t1", 50.0)], "action string, title string, priority double")
-    p = content.plan(items, 2, 3).collect()
-    assert [r.title for r in p][:2] == ["t1", "t9"] and [r.month for r in p] == [1, 1, 1, 2, 2, 2]
+    p = {r.title: (r.priority, r.place, r.month) for r in content.plan(items, 2, 3).collect()}
+    assert len(p) == 10 and p["t1"] == (50.0, 1, 1) and p["t9"] == (9.0, 2, 1) and p["t5"] == (5.0, 6, 2) and p["t4"] == (4.0, None, 2)
 
 
 def test_history(spark):
