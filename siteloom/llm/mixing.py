@@ -150,3 +150,16 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
         "source", "target_share", "max_repeats", F.coalesce("documents", zero).alias("documents"), F.coalesce("tokens", zero).alias("tokens"),
         F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"), F.coalesce(F.col("tokens") / F.col("whole"), F.lit(0.0)).alias("actual_share"),
     )
+
+
+def landing(mixed: DataFrame, sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
+    """``source, tokens, wanted_tokens, landing_bound`` of each source in a mixture: what it contributes, what the plan gives it, and by how much
+    the cube method may miss that: its flights keep token totals exactly, and the landing rounds at most two records."""
+    spark = mixed.sparkSession
+    rows = [tuple(r) for r in targets.filter("source is not null").select("source", F.col("target_share").cast("double"), F.col("max_repeats").cast("int")).limit(MAX_SOURCES).collect()]
+    by = sizes.groupBy("source").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.max("tokens").alias("largest"))
+    known = {r.source: r for r in by.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi").collect()}
+    passes = plan({s: (r.t or 0, r.n) for s, r in known.items()}, rows, total_tokens)
+    wanted = spark.createDataFrame([(s, (p + f) * known[s].t, 2 * known[s].largest) for s, (p, f) in passes.items()], "source string, wanted_tokens double, landing_bound long")
+    got = mixed.groupBy("source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("tokens"))
+    return F.broadcast(wanted).join(got, "source", "left").select("source", F.coalesce("tokens", F.lit(0)).alias("tokens"), "wanted_tokens", "landing_bound")

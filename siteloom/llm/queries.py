@@ -82,6 +82,39 @@ def p8_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_kinds(stored(tokens.token_sizes(table(spark, d, "documents")), "token-sizes"), table(spark, d, "container_sizes"))
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of ``p8_packing`` in each kind of container: every document once, whole unless it exceeds the capacity, no container overfull, and
+    the unused space as stated."""
+    documents = table(spark, d, "documents")
+    sizes = stored(tokens.token_sizes(documents), "token-sizes")
+    kinds = table(spark, d, "container_sizes")
+    packed = stored(packing.pack_kinds(sizes, kinds), "packed")
+    capacity = F.broadcast(kinds.select("container_kind", "capacity_tokens"))
+    fill = packed.groupBy("container_kind", "container").agg(F.sum("tokens").alias("full"), F.min("unused").alias("least"), F.max("unused").alias("most")).join(capacity, "container_kind")
+    rest = F.col("capacity_tokens") - F.col("full")
+    boxes = fill.groupBy("container_kind").agg(F.count_if(rest < 0).alias("overfull"), F.count_if((rest != F.col("least")) | (rest != F.col("most"))).alias("misstated"))
+    whole = packed.groupBy("container_kind", "doc_id").agg(F.count("*").alias("pieces"), F.sum("tokens").alias("packed")).join(sizes, "doc_id", "left").join(capacity, "container_kind")
+    needed = F.greatest(F.lit(1), F.ceil(F.col("tokens") / F.col("capacity_tokens")))
+    items = whole.groupBy("container_kind").agg(F.count("*").alias("documents"), F.count_if(F.coalesce(F.col("packed") != F.col("tokens"), F.lit(True))).alias("changed"), F.count_if(F.col("pieces") != needed).alias("split"))
+    return items.join(boxes, "container_kind")
+
+
+def p9_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of ``p9_mixture`` for each target: no record beyond the cap on repeats or twice, none of another source, and a share that misses its
+    target by no more than two records of the source (the landing of the cube method), as parts of the whole."""
+    targets = table(spark, d, "mix_targets")
+    sizes = stored(tokens.token_sizes(table(spark, d, "documents"), "source"), "token-sizes")
+    mixed = stored(mixing.mixture(sizes, targets), "mixture")
+    own = sizes.select("doc_id", F.col("source").alias("own"), F.col("tokens").alias("size"))
+    rows = mixed.join(F.broadcast(targets.select("source", "max_repeats")), "source", "left").join(own, "doc_id", "left")
+    by = rows.groupBy("source").agg(
+        F.count_if(F.col("repeats") > F.col("max_repeats")).alias("beyond_cap"), F.count_if(~F.col("own").eqNullSafe(F.col("source")) | (F.col("size") != F.col("tokens"))).alias("foreign"), (F.count("*") - F.count_distinct("doc_id")).alias("twice")
+    )
+    zero = F.lit(0).cast("long")
+    off = mixing.landing(mixed, sizes, targets).select("source", (F.abs(F.col("tokens") - F.col("wanted_tokens")) > F.col("landing_bound")).alias("off"))
+    return targets.select("source").join(by, "source", "left").join(off, "source", "left").select("source", *[F.coalesce(c, zero).alias(c) for c in ("beyond_cap", "foreign", "twice")], F.coalesce("off", F.lit(False)).alias("off"))
+
+
 def _mixture(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(tokens.token_sizes(table(spark, d, "documents"), "source"), table(spark, d, "mix_targets"))
 
@@ -104,7 +137,7 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_records, p2_found, p2_main_text, p3_found, p3_sequences, p3_cleaned, p4_found, p4_segments, p4_pages, p5_found, p6_found, p7_found, p7_line_states, p8_packing, p9_mixture, p9_shares, p10_found, p10_shared)
+    for f in (p1_found, p1_records, p2_found, p2_main_text, p3_found, p3_sequences, p3_cleaned, p4_found, p4_segments, p4_pages, p5_found, p6_found, p7_found, p7_line_states, p8_packing, p8_invariants, p9_mixture, p9_invariants, p9_shares, p10_found, p10_shared)
 }
 
 _KEY = r"regexp_replace(lower(upper(nfc_normalize(regexp_replace({}, '[\x{{fe00}}-\x{{fe0f}}]', '', 'g')))), '[^\p{{L}}\p{{N}}\p{{Mn}}\p{{Mc}}]', '', 'g')"
@@ -132,6 +165,8 @@ with l as (
 ORACLES: dict[str, str] = {
     "p1_found": _GROUPS + " select m.least_page_id as page_id_a, g.page_id as page_id_b from m join g using (x, y) where g.page_id > m.least_page_id",
     "p1_records": _GROUPS + " select page_id, least_page_id, copies from m",
+    "p8_invariants": "select container_kind, (select count(*) from documents) as documents, 0 as changed, 0 as split, 0 as overfull, 0 as misstated from container_sizes",
+    "p9_invariants": "select source, 0 as beyond_cap, 0 as foreign, 0 as twice, false as off from mix_targets",
     "p3_cleaned": _LINES
     + """, gone as (select t.page_id, t.line_no from t join f using (site, item)), p as (
   select page_id, unnest(string_split(body_sample, chr(10))) as line, generate_subscripts(string_split(body_sample, chr(10)), 1) as line_no from page_facts
