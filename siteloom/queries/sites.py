@@ -315,3 +315,35 @@ ORACLES = {
     "progress_sessions": "with p as (select user_id, ts, lag(ts) over (partition by user_id order by ts) as before from events), g as (select user_id, ts, sum(case when before is null or ts >= before + interval '30 minutes' then 1 else 0 end) over (partition by user_id order by ts rows unbounded preceding) as g from p) select user_id, min(ts) as start, count(*) as events from g group by user_id, g",
     "progress_log": "select event_id, event_type, value from events order by ts desc, event_id desc limit 200",
 }
+
+
+def _site_issues() -> str:
+    o = ORACLES
+    host = S.site
+    parts = [
+        ("SITE_DUPLICATE_TITLE", "warning", "meta", f"select site from ({o['duplicate_titles']})"),
+        ("SITE_DUPLICATE_DESCRIPTION", "warning", "meta", f"select site from ({o['duplicate_descriptions']})"),
+        ("SITE_ORPHAN", "warning", "architecture", f"select {host('url')} as site from ({o['link_in_degrees']}) where in_degree = 0"),
+        ("SITE_BROKEN_LINK", "error", "links", f"select {host('target')} as site from ({o['broken_targets']})"),
+        ("SITE_REDIRECTED_LINK", "notice", "links", f"select {host('target')} as site from ({o['redirect_targets']})"),
+        ("SITE_NO_TRUST_PAGE", "notice", "usability", " union all ".join(f"select site from ({o['trust_pages']}) where not {k}" for k in dims.TRUST)),
+        ("SITE_HTTP_STAYS", "error", "security", f"select site from ({o['domain_flags']}) where http_stays"),
+        ("SITE_BOTH_HOSTS", "warning", "indexability", f"select site from ({o['domain_flags']}) where both_hosts"),
+    ]
+    rows = " union all ".join(f"select site, '{rule}' as rule_id, '{severity}' as severity, '{category}' as category from ({sql})" for rule, severity, category, sql in parts)
+    return f"select site, rule_id, severity, category, count(*) as n from ({rows}) group by 1, 2, 3, 4"
+
+
+def _from_rules() -> dict[str, str]:
+    from ..operators import crawl
+    from .pages import _ISSUES
+
+    case = lambda column, table: f"case {column} " + " ".join("when '{}' then '{}'".format(k, v.replace("'", "''")) for k, v in table.items()) + " end"
+    return {
+        "advised_issues": f"{_ISSUES} select rule_id, coalesce({case('rule_id', crawl.RULE_ADVICE)}, {case('category', crawl.CATEGORY_ADVICE)}, 'Check the page.') as advice, count(*) as n from i group by 1, 2",
+        "history_issue_changes": f"""{_ISSUES}, w as (select {S.site('i.url')} as site, rule_id, bool_or(fetched_at < timestamp '2025-06-01') as early, bool_or(fetched_at >= timestamp '2025-06-01') as late from i join page_facts using (page_id) group by 1, 2)
+ select site, rule_id, case when late then 'created' else 'resolved' end as change from w where coalesce(early, false) <> coalesce(late, false)""",
+    }
+
+
+ORACLES |= {"site_issues": _site_issues()} | _from_rules()
