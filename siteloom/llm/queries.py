@@ -162,7 +162,17 @@ with l as (
 ), f as (
   select site, item from t where item <> '' group by site, item having count(distinct page_id) >= 8
 )"""
+#: Every window of 200 characters of every document; cut in two steps, as a place in a long text costs its distance.
+_WINDOWS = """
+with c as (select doc_id, text, unnest(generate_series(0, (length(text) - 1) // 200)) as b from documents where length(text) >= 200),
+p as (select doc_id, b, substring(text, b * 200 + 1, 399) as part from c),
+w as (select doc_id, b * 200 + i as place, substring(part, i, 200) as span from (select doc_id, b, part, unnest(generate_series(1, least(200, length(part) - 199))) as i from p where length(part) >= 200)),
+g as (select span, list_sort(list(distinct doc_id)) as docs from w group by span having min(doc_id) < max(doc_id))"""
 ORACLES: dict[str, str] = {
+    "p10_found": _WINDOWS + ", u as (select distinct docs from g), a as (select docs, unnest(docs) as x from u) select distinct x as doc_id_a, y as doc_id_b from (select x, unnest(docs) as y from a) where x < y",
+    "p10_shared": _WINDOWS + """, s as (select doc_id, least(200, coalesce(lead(place) over (partition by doc_id order by place) - place, 200)) as new from w join g using (span)),
+t as (select doc_id, sum(new) as shared from s group by 1)
+select doc_id, cast(coalesce(length(text), 0) as bigint) as n_chars, cast(coalesce(shared, 0) as bigint) as shared_chars, round(coalesce(shared, 0) / greatest(coalesce(length(text), 0), 1), 6) as shared_share from documents left join t using (doc_id)""",
     "p1_found": _GROUPS + " select m.least_page_id as page_id_a, g.page_id as page_id_b from m join g using (x, y) where g.page_id > m.least_page_id",
     "p1_records": _GROUPS + " select page_id, least_page_id, copies from m",
     "p8_invariants": "select container_kind, (select count(*) from documents) as documents, 0 as changed, 0 as split, 0 as overfull, 0 as misstated from container_sizes",
