@@ -43,6 +43,13 @@ CAPITAL, SMALL = "A-ZĄĆĘŁŃÓŚŻŹ", "a-ząćęłńóśżź"
 GENERIC_ANCHOR = r"^(kliknij|kliknij tutaj|tutaj|tu|więcej|czytaj więcej|zobacz|zobacz więcej|sprawdź|click here|here|read more|more|link)[ \t\n\r]*$"
 AUTHORITY = r"\.(gov|edu|edu\.pl|gov\.pl|gob\.|ac\.uk|int)(/|$)|(^|[^a-z0-9_])(wikipedia\.org|who\.int|europa\.eu|nih\.gov|nasa\.gov|britannica\.com|reuters\.com|nature\.com|sciencedirect\.com|ncbi\.nlm\.nih\.gov)([^a-z0-9_]|$)"
 PAGINATED = r"([?&](page|strona|p)=[0-9]+)|/(page|strona)/[0-9]+|/[0-9]+/?$"
+ASKS = r"^(jak|co|dlaczego|ile|czy|kiedy|gdzie|jaki|który|czym|po co|na co|za ile)([^a-z0-9_]|$)"
+MODIFIERS = {
+    "commercial": r"(^|[^a-z0-9_])(cena|cennik|tanio|tani|sklep|kup|kupić|promocja|oferta|koszt|ranking|najlepsz)([^a-z0-9_]|$)",
+    "guide": r"(^|[^a-z0-9_])(jak|poradnik|krok|instrukcja|sposób|domowy|samodzielnie)([^a-z0-9_]|$)",
+    "local": r"(^|[^a-z0-9_])(warszawa|krakow|kraków|wrocław|poznań|gdańsk|blisko|okolica|w pobliżu)([^a-z0-9_]|$)",
+}
+TYPE_ORDER = "blog service product category location page"
 CAMERA_NAME = r"/(img|image|dsc|dscn|photo|pic|screenshot)[-_]?[0-9]{2,}|/[0-9]{4,}\.(jpe?g|png|webp|avif)"
 NOT_PAGINATED = r"/(19|20)[0-9]{2}/?$"
 TITLE_NUMBER = r"(strona|page|str\.?|—|-|\|)[ \t]*[0-9]+"

@@ -90,3 +90,12 @@ def link_sources(pages: DataFrame, keyword: str, k: int = 8, least: float = 0.1)
 def link_opportunities(similar: DataFrame, linked: DataFrame) -> DataFrame:
     """``query, doc, cosine`` of similar documents that do not link to the query document yet (``linked(src, dst)``)."""
     return similar.join(linked.select(F.col("src").alias("doc"), F.col("dst").alias("query")).distinct(), ["query", "doc"], "left_anti")
+
+
+def brief_targets(pages: DataFrame, headings: DataFrame, least: int = 800) -> DataFrame:
+    """``grp, words, headings``: for each group of pages (``pages(grp, url, word_count)``) the length to aim at, that of its longest page and at least ``least``, and
+    its different headings of more than six characters, equal ones by their normalised text (``headings(url, text)``)."""
+    words = pages.groupBy("grp").agg(F.greatest(F.lit(least), F.max(F.coalesce("word_count", F.lit(0)))).alias("words"))
+    h = headings.withColumn("text", F.trim("text")).filter(F.length("text") > 6).join(pages.select("grp", "url").distinct(), "url")
+    one = h.groupBy("grp", X.normalized(F.col("text")).alias("key")).agg(F.min("text").alias("text"))
+    return words.join(one.groupBy("grp").agg(F.sort_array(F.collect_list("text")).alias("headings")), "grp", "left").withColumn("headings", F.coalesce("headings", F.array().cast("array<string>")))

@@ -180,6 +180,7 @@ def derived(facts: DataFrame) -> DataFrame:
     has_prop = lambda p: F.exists("entities", lambda e: F.array_contains(e["props"], p))
     full = F.concat(path_of(F.col("final_url")), F.when(query_of(F.col("final_url")) != "", F.concat(F.lit("?"), query_of(F.col("final_url")))).otherwise(""))
     d = facts.withColumns({
+        "headings_text": F.array_join(F.concat("h1", "h2", "h3"), " . "), "body_sample": F.substring("body_text", 1, 1500),
         "noindex": F.coalesce(F.lower("meta_robots").contains("noindex"), F.lit(False)) | F.coalesce(F.lower(header("x-robots-tag")).contains("noindex"), F.lit(False)),
         "hops": n(F.col("redirect_chain")), "temporary_hops": n(F.filter("redirect_chain", lambda h: h["status"].isin(302, 303, 307))),
         "has_markup": F.col("html_size") > 0, "has_headers": F.size("headers") > 0,

@@ -174,3 +174,14 @@ def site_issues(pages: DataFrame, links: DataFrame, fetches: DataFrame) -> DataF
 def external_status(links: DataFrame, status: DataFrame, sources: int = 5) -> DataFrame:
     """External targets that answered 400 or more (``status(href, status)``), with up to ``sources`` linking pages."""
     return external_targets(links, sources).join(status.filter("status >= 400").select("href", "status"), "href")
+
+
+def identity_issues(facts: DataFrame, llms: DataFrame) -> DataFrame:
+    """``site, rule_id, severity, category``: sites without llms.txt, without an organisation in any page's structured data, or with one that names no
+    profiles. ``facts`` as of ``extract.page_facts``; ``llms(site, has_llms)``."""
+    kinds = F.lower(F.array_join(F.flatten(F.transform("entities", lambda e: e["types"])), " "))
+    organisation = kinds.rlike("organization|corporation|ngo|localbusiness|" + "|".join(t.lower() for t in dims.LOCAL_SUBTYPES))
+    s = facts.groupBy(site_of(F.col("url")).alias("site")).agg(F.bool_or(organisation).alias("org"), F.bool_or(F.size("same_as") > 0).alias("same")).join(llms, "site", "left")
+    issue = lambda rule: F.struct(F.lit(rule).alias("rule_id"), F.lit("notice").alias("severity"), F.lit("geo").alias("category"))
+    found = F.array(F.when(~F.coalesce("has_llms", F.lit(False)), issue("SITE_NO_LLMS")), F.when(~F.col("org"), issue("SITE_NO_ORGANIZATION")), F.when(F.col("org") & ~F.col("same"), issue("SITE_NO_SAME_AS")))
+    return s.select("site", F.inline(F.filter(found, lambda x: x.isNotNull())))

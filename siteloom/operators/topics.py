@@ -191,3 +191,18 @@ def resolve(keyword: str, topics_: DataFrame, least: float = 0.12) -> DataFrame:
     """The topic (``topic, words``) whose words are most similar to a keyword's tokens, if similar enough: at most one row."""
     s = X.jaccard(F.array_distinct(X.tokens(F.lit(keyword))), F.array_distinct("words"))
     return topics_.select("topic", F.round(s, 6).alias("similarity")).filter(F.col("similarity") >= least).orderBy(F.desc("similarity"), "topic").limit(1)
+
+
+def expected_questions(headings: DataFrame, most: int = 10) -> DataFrame:
+    """``grp, question``: a group's different question headings of more than eight characters (``headings(grp, doc, text)``), the first ``most`` by text."""
+    q = headings.filter(F.col("text").contains("?") & (F.length(F.trim("text")) > 8)).select("grp", F.lower(F.trim("text")).alias("question")).distinct()
+    return top(q, ["grp"], [F.col("question")], most).drop("rank")
+
+
+def missing_questions(headings: DataFrame, docs: DataFrame, most: int = 6) -> DataFrame:
+    """``grp, doc, questions``: for each of ``docs(grp, doc)`` up to ``most`` expected questions whose first 20 characters stand in none of its headings."""
+    own = headings.groupBy("grp", "doc").agg(F.lower(F.array_join(F.sort_array(F.collect_set("text")), " . ")).alias("own"))
+    asked = expected_questions(headings).groupBy("grp").agg(F.sort_array(F.collect_list("question")).alias("all"))  # ten at most
+    j = docs.join(asked, "grp").join(own, ["grp", "doc"], "left")
+    lacking = F.filter("all", lambda q: ~F.contains(F.coalesce("own", F.lit("")), F.substring(q, 1, 20)))
+    return j.select("grp", "doc", F.slice(lacking, 1, most).alias("questions")).filter(F.size("questions") > 0)

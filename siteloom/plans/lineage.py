@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders that ``stored`` has written in this process.
+_paths: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a folder of our own only where none is set (tests, local mode)."""
@@ -14,7 +19,9 @@ def shared_dir(spark: SparkSession) -> str:
     if not place:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        place = "file://" + tempfile.mkdtemp(prefix="siteloom-")
+        folder = tempfile.mkdtemp(prefix="siteloom-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        place = f"file://{folder}"
         spark.conf.set("spark.checkpoint.dir", place)
     return place
 
@@ -29,6 +36,18 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     and safe when executors are lost."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
+    _paths.append(path)
     writer = df.write.mode("overwrite").option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Removes what ``stored`` has written in this process, and returns how many folders that were. To be called when the results of
+    the queries so far have been written or shown: DataFrames that read these folders end with it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _paths:
+        p = jvm.org.apache.hadoop.fs.Path(_paths.pop())
+        n += bool(p.getFileSystem(conf).delete(p, True))
+    return n

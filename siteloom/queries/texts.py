@@ -185,9 +185,39 @@ def brief_outlines(s: SparkSession, d: str) -> DataFrame:
     return content.outline(h, "site").select("site", F.array_join(F.coalesce("headings", F.array().cast("array<string>")), "|").alias("headings"), F.array_join(F.coalesce("questions", F.array().cast("array<string>")), "|").alias("questions"))
 
 
+def description_templates(s: SparkSession, d: str) -> DataFrame:
+    """A description for each page with assigned keywords: the best one, and the next three."""
+    k = keyword_best_pages(s, d).filter("assigned")
+    lists = top(k, ["page_id"], [F.desc("score"), F.col("keyword")], 4).groupBy("page_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "keyword"))), lambda x: x["keyword"]).alias("ks"))
+    return lists.select("page_id", keywords.description_template(F.col("ks")[0], F.slice("ks", 2, 3), F.lit("Velmaro")).alias("description"))
+
+
+def _site_headings(s: SparkSession, d: str) -> DataFrame:
+    return table(s, d, "headings").filter("level <= 3 and text is not null").select(site_of(F.col("url")).alias("grp"), F.col("url").alias("doc"), "text")
+
+
+def missing_questions(s: SparkSession, d: str) -> DataFrame:
+    """For every page with headings, the questions of its site's pages that it does not ask."""
+    h = _site_headings(s, d)
+    return topics.missing_questions(h, h.select("grp", "doc").distinct()).select(F.col("grp").alias("site"), F.col("doc").alias("url"), F.array_join("questions", "|").alias("questions"))
+
+
+def brief_targets(s: SparkSession, d: str) -> DataFrame:
+    p = table(s, d, "page_facts").select(site_of(F.col("url")).alias("grp"), "url", "word_count")
+    t = content.brief_targets(p, table(s, d, "headings").filter("level <= 3"))
+    return t.select(F.col("grp").alias("site"), F.col("words").cast("long").alias("words"), F.size("headings").cast("long").alias("headings"))
+
+
+def topic_totals(s: SparkSession, d: str) -> DataFrame:
+    from ..operators import views
+
+    m = stored(topic_metrics(s, d), "topic-metrics")
+    return views.graph_totals(m, topics.gaps(m))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (term_weights, top_terms, surface_forms, keyphrases, entity_counts, similar_documents, question_headings, page_types, page_type_histogram, topic_clusters, topic_metrics, topic_gaps, completeness, content_gap, keyword_intents, keyword_slugs, keyword_profiles, keyword_best_pages, keyword_assignments, keyword_clusters, title_templates, reference_terms, median_lengths, content_scores, weakest_texts, content_plan, brief_outlines)
+    for f in (term_weights, top_terms, surface_forms, keyphrases, entity_counts, similar_documents, question_headings, page_types, page_type_histogram, topic_clusters, topic_metrics, topic_gaps, completeness, content_gap, keyword_intents, keyword_slugs, keyword_profiles, keyword_best_pages, keyword_assignments, keyword_clusters, title_templates, reference_terms, median_lengths, content_scores, weakest_texts, content_plan, brief_outlines, description_templates, missing_questions, brief_targets, topic_totals)
 }
 
 _T = S.tokens("text")
@@ -257,6 +287,15 @@ ORACLES = {
     "keyword_profiles": f"with {_FIELDS} select token, count(*) as pages, cast(sum(weight) as bigint) as weight from pf group by token",
     "keyword_best_pages": f"with {_BEST} select keyword, page_id, score, confidence, assigned from bp",
     "keyword_assignments": f"with {_BEST} select page_id, count(*) as keywords, arg_min(keyword, row(-score, keyword)) as main, max(score) as main_score from bp where assigned group by page_id",
+    "description_templates": f"""with {_BEST}, rk as (select page_id, keyword, row_number() over (partition by page_id order by score desc, keyword) as r from bp where assigned),
+ ks as (select page_id, list(keyword order by r) as ks from rk where r <= 4 group by page_id), ws as (select page_id, upper(left(ks[1], 1)) || ks[1][2:] as head, array_to_string(ks[2:4], ', ') as extras from ks),
+ ds as (select page_id, head || '. Sprawdź ofertę Velmaro.' as short, case when extras <> '' then head || ' — ' || extras || '. Sprawdź ofertę Velmaro.' else head || '. Sprawdź ofertę Velmaro.' end as whole from ws), fs as (select page_id, case when length(whole) <= 158 then whole else short end as t from ds)
+ select page_id, case when length(t) <= 158 then t else left(t, 157) || '…' end as description from fs""",
+    "missing_questions": f"""with h as (select {S.site('url')} as site, url, text from headings where level <= 3 and text is not null), q as (select distinct site, lower(trim(both ' ' from text)) as q from h where contains(text, '?') and length(trim(both ' ' from text)) > 8),
+ e as (select site, q from q qualify row_number() over (partition by site order by q) <= 10), o as (select site, url, lower(array_to_string(list_sort(list(distinct text)), ' . ')) as own from h group by 1, 2),
+ m as (select site, url, q from o join e using (site) where not contains(own, left(q, 20)) qualify row_number() over (partition by site, url order by q) <= 6) select site, url, string_agg(q, '|' order by q) as questions from m group by 1, 2""",
+    "brief_targets": f"""with p as (select {S.site('url')} as site, url, word_count from page_facts), w as (select site, greatest(800, max(coalesce(word_count, 0))) as words from p group by 1),
+ h as (select site, count(distinct {S.clean('text')}) as n from headings join (select distinct site, url from p) using (url) where level <= 3 and length(trim(both ' ' from text)) > 6 group by 1) select site, cast(words as bigint) as words, coalesce(n, 0) as headings from w left join h using (site)""",
     "reference_terms": f"with {_REF} select source, term, df, rank from ref",
     "median_lengths": f"with {_MED} select source, median from md",
     "content_scores": f"with {_CS} select source, doc_id, coverage, words, score, grade from cg",

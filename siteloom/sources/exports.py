@@ -8,6 +8,7 @@ import zipfile
 from xml.sax.saxutils import escape
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Rows that a report may hold at most; tables beyond it are written as files, not as reports.
 REPORT_ROWS = 100_000
@@ -86,6 +87,19 @@ def checklist(issues: DataFrame, rollup: DataFrame, scores: DataFrame) -> bytes:
     return xlsx({"Scores": rows(scores), "Issues": table, "Pages": rows(issues)}, {"Issues": {len(grouped[0]): ["open", "in progress", "done"]}})
 
 
+def content_checklist(pages: DataFrame, words: str = "") -> bytes:
+    """Workbook of topic pages, by kind and the least complete first, with a state to choose. ``pages`` as of ``views.topic_pages``."""
+    from ..operators.views import topic_pages
+
+    table = rows(topic_pages(pages, words).select("type", "title", "url", "topic", "completeness"))
+    return xlsx({"Content": [[*table[0], "state"], *[[*r, "open"] for r in table[1:]]]}, {"Content": {len(table[0]): ["open", "in progress", "done"]}})
+
+
+def plan_workbook(plan: DataFrame) -> bytes:
+    """Workbook of a content plan (``content.plan``), one row per item, in the order of months, places and priorities."""
+    return xlsx({"Plan": rows(plan.select("month", "place", "action", "title", "priority").orderBy("month", F.col("place").asc_nulls_last(), F.desc("priority"), "action", "title"))})
+
+
 def html_report(title: str, tables: dict[str, DataFrame], most: int | None = None) -> str:
     """One page with a table for each entry. With ``most``, tables are cut there and say how many rows they have."""
     parts = [f"<!doctype html><meta charset=utf-8><title>{html.escape(title)}</title><h1>{html.escape(title)}</h1>"]

@@ -51,3 +51,21 @@ def expand(roots: DataFrame, files: DataFrame, depth: int = 3) -> DataFrame:
         if front.isEmpty():
             break
     return pages.distinct()
+
+
+def candidates(origins: DataFrame, listed: DataFrame) -> DataFrame:
+    """``origin, url``: where sitemaps may be: what robots.txt lists (``listed(origin, url)``) and the usual two places."""
+    usual = origins.select("origin", F.explode(F.array(F.concat("origin", F.lit("/sitemap.xml")), F.concat("origin", F.lit("/sitemap_index.xml")))).alias("url"))
+    return listed.select("origin", "url").unionByName(usual).distinct()
+
+
+def discovered(candidates_: DataFrame, fetches: DataFrame) -> DataFrame:
+    """Candidates that answered with a sitemap: ``origin, url, body``. ``fetches(url, ok, body)``."""
+    got = fetches.filter(F.col("ok") & F.col("body").rlike("(?i)<(urlset|sitemapindex)")).groupBy("url").agg(F.min("body").alias("body"))
+    return candidates_.join(got, "url").select("origin", "url", "body")
+
+
+def llms_files(origins: DataFrame, fetches: DataFrame) -> DataFrame:
+    """``origin, has_llms``: whether /llms.txt answered with more than ten characters."""
+    got = fetches.filter(F.col("ok") & (F.length(F.trim("body")) > 10)).select(F.col("url").alias("__u")).distinct()
+    return origins.join(got.withColumn("has_llms", F.lit(True)), F.concat("origin", F.lit("/llms.txt")) == F.col("__u"), "left").select("origin", F.coalesce("has_llms", F.lit(False)).alias("has_llms"))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import text as X
 from siteloom.functions import urls as U
-from siteloom.operators import content, crawl, extract, graph, history, ir, keywords, scoring, similarity, site, topics
+from siteloom.operators import content, crawl, extract, graph, history, ir, keywords, scoring, similarity, site, topics, views
 from siteloom.plans.skew import lookup
 from siteloom.plans.topk import examples
-from siteloom.sources import exports, robots, sitemaps
+from siteloom.sources import exports, external, robots, sitemaps
 from siteloom.streaming import progress
 
 
@@ -313,3 +313,72 @@ def test_analysis(spark):
     assert (r.coverage, r.missing, r.extra) == (50, ["b"], 1)
     t = spark.createDataFrame([("t1", ["namiot", "plecak"]), ("t2", ["rower"])], "topic string, words array<string>")
     assert topics.resolve("namiot i plecaki", t).first().topic == "t1" and topics.resolve("zegar", t).count() == 0
+
+
+def test_external(spark):
+    serp = spark.createDataFrame([("k", 3, "u1", "a"), ("k", 1, "u2", "b"), ("k", 2, "u1", "c"), ("k", 4, None, "d"), ("q", 9, "u1", None)], "keyword string, rank int, url string, title string")
+    assert {tuple(r) for r in external.search_results(serp).collect()} == {("k", 1, "u2", "b"), ("k", 2, "u1", "c"), ("q", 1, "u1", None)}
+    s = spark.createDataFrame([("buty", "buty a", "Buty cena"), ("buty", "buty", "buty CENA"), ("buty", "jak buty", "jak prać buty"), ("buty", "buty", " Buty "), ("buty", "b", "buty?"), ("buty", "b", None), ("buty", "b", "buty kraków")], "seed string, query string, suggestion string")
+    got = {r.suggestion.lower(): (r.kind, r.modifier) for r in external.suggestions(s).collect()}
+    assert got == {"buty cena": ("suggestion", "commercial"), "jak prać buty": ("question", None), "buty?": ("question", None), "buty kraków": ("suggestion", "local")}
+    t = spark.createDataFrame([("k", "Boot"), ("k", "Talk:Boot"), ("k", "one two three four five"), ("k", "")], "keyword string, title string")
+    c = spark.createDataFrame([("k", "/c/en/hiking_boot"), ("k", "/c/en/boot"), ("k", "/c/en/")], "keyword string, id string")
+    assert {tuple(r) for r in external.entities(t, c).collect()} == {("k", "Boot", "titles"), ("k", "hiking boot", "terms")}
+    assert external.entities(t.limit(0), c.limit(0)).count() == 0
+    assert [r.token for r in external.related(spark.createDataFrame([("mountain boots cheap",)], "keyword string")).collect()] == [one(spark, X.tokens(F.lit("mountain boots cheap"))[i]) for i in (0, 1)]
+
+
+def test_views(spark):
+    issues = spark.createDataFrame([(1, "u/A", "error", "R1"), (1, "u/A", "notice", "R2"), (2, "u/b", "notice", "R2")], "page_id int, url string, severity string, rule_id string")
+    pages = spark.createDataFrame([(1, "u/A", 200, 10), (2, "u/b", 404, 30), (3, "u/c", 200, None)], "page_id int, url string, status int, response_time_ms int")
+    assert views.with_severity(issues, "notice").count() == 2 and views.with_severity(issues).count() == 3
+    assert {(r.rule_id, r.pages) for r in views.repeated_issues(issues).collect()} == {("R1", 1), ("R2", 2)}
+    order = lambda **k: [r.page_id for r in views.search_pages(pages, issues, **k).collect()]
+    assert order() == [1, 2, 3] and order(order="status") == [2, 1, 3] and order(order="time") == [2, 1, 3] and order(words="U/a") == [1]
+    with pytest.raises(ValueError):
+        order(order="name")
+    t = spark.createDataFrame([("page", "p", "u3", 5), ("blog", "b", "u2", None), ("blog", None, "u1", 70), ("x", "x", "u0", 1)], "type string, title string, url string, completeness int")
+    assert [r.url for r in views.topic_pages(t).collect()] == ["u1", "u2", "u3", "u0"] and [r.url for r in views.topic_pages(t, "B").collect()] == ["u2"]
+    assert {r.type: r.pages for r in views.type_counts(t).collect()} == {"page": 1, "blog": 2, "x": 1}
+    m = spark.createDataFrame([("s", "a", 4, 75, False), ("s", "b", 1, 20, True)], "site string, topic string, size long, coverage long, has_pillar boolean")
+    g = spark.createDataFrame([("s", "a", "pillar")], "site string, topic string, kind string")
+    assert tuple(views.graph_totals(m, g).select("topics", "pages", "well_covered", "pillars_missing", "coverage", "gaps").first()) == (2, 5, 1, 1, 48, 1)
+    scores = spark.createDataFrame([("b", 5), ("a", 5), ("c", 1)], "category string, score int")
+    assert [r.category for r in views.categories_by_score(scores).collect()] == ["c", "a", "b"]
+
+
+def test_discovery_and_identity(spark):
+    origins = spark.createDataFrame([("https://a.example",), ("https://b.example",)], "origin string")
+    listed = spark.createDataFrame([("https://a.example", "https://a.example/m.xml")], "origin string, url string")
+    f = spark.createDataFrame([("https://a.example/m.xml", True, "<urlset/>"), ("https://b.example/sitemap.xml", True, "<html>"), ("https://b.example/sitemap_index.xml", False, "<sitemapindex/>"), ("https://a.example/llms.txt", True, "# A long text"), ("https://b.example/llms.txt", True, "short")], "url string, ok boolean, body string")
+    assert [r.url for r in sitemaps.discovered(sitemaps.candidates(origins, listed), f).collect()] == ["https://a.example/m.xml"]
+    llms = sitemaps.llms_files(origins, f)
+    assert {r.origin: r.has_llms for r in llms.collect()} == {"https://a.example": True, "https://b.example": False}
+    org = '<script type="application/ld+json">{"@type": "Organization", "name": "n"%s}</script>'
+    facts = extract.page_facts(spark.createDataFrame([("https://a.example/1", org % ', "sameAs": ["x"]'), ("https://b.example/1", org % ""), ("https://c.example/1", "<p>x")], "url string, html string"))
+    got = {(r.site, r.rule_id) for r in site.identity_issues(facts, llms.select(U.site_of(F.col("origin")).alias("site"), "has_llms")).collect()}
+    assert got == {("b.example", "SITE_NO_LLMS"), ("b.example", "SITE_NO_SAME_AS"), ("c.example", "SITE_NO_LLMS"), ("c.example", "SITE_NO_ORGANIZATION")}
+
+
+def test_description_template(spark):
+    d = lambda main, extras, brand=None: one(spark, keywords.description_template(F.lit(main), F.array(*[F.lit(x) for x in extras]).cast("array<string>"), F.lit(brand).cast("string")))
+    assert d("buty", ["a", "b", "c", "d"], "X") == "Buty — a, b, c. Sprawdź ofertę X." and d("buty", []) == "Buty. Sprawdź szczegóły."
+    assert d("buty", ["x" * 150]) == "Buty. Sprawdź szczegóły." and len(d("b" * 200, [])) == 158
+
+
+def test_workbooks(spark):
+    t = spark.createDataFrame([("page", "p", "u3", "a", 5), ("blog", "b", "u2", "a", None)], "type string, title string, url string, topic string, completeness int")
+    items = spark.createDataFrame([("new page", f"t{i}", float(i)) for i in range(5)], "action string, title string, priority double")
+    for book, first, last in ((exports.content_checklist(t), "u2", "u3"), (exports.plan_workbook(content.plan(items, 2, 2)), "t4", "t0")):
+        sheet = zipfile.ZipFile(BytesIO(book)).read("xl/worksheets/sheet1.xml").decode()
+        assert 0 < sheet.index(first) < sheet.index(last)
+    page = exports.html_report("r", {"all": items, "none": items.limit(0)})
+    assert page.count("<tr>") == 7 and exports.html_report("r", {"all": items}, 2).count("<tr>") == 3
+
+
+def test_release(spark):
+    from siteloom.plans import lineage
+
+    lineage.release(spark)
+    df = lineage.stored(spark.range(3), "kept")
+    assert df.count() == 3 and lineage.release(spark) == 1 and lineage.release(spark) == 0
