@@ -291,6 +291,11 @@ ORACLES = {
  ks as (select page_id, list(keyword order by r) as ks from rk where r <= 4 group by page_id), ws as (select page_id, upper(left(ks[1], 1)) || ks[1][2:] as head, array_to_string(ks[2:4], ', ') as extras from ks),
  ds as (select page_id, head || '. Sprawdź ofertę Velmaro.' as short, case when extras <> '' then head || ' — ' || extras || '. Sprawdź ofertę Velmaro.' else head || '. Sprawdź ofertę Velmaro.' end as whole from ws), fs as (select page_id, case when length(whole) <= 158 then whole else short end as t from ds)
  select page_id, case when length(t) <= 158 then t else left(t, 157) || '…' end as description from fs""",
+    "title_templates": f"""with {_BEST}, rk as (select page_id, keyword, row_number() over (partition by page_id order by score desc, keyword) as r from bp where assigned),
+ ks as (select page_id, list(keyword order by r) as ks from rk where r <= 6 group by page_id), br as (select page_id, regexp_extract({S.site('url')}, '^[^.-]*') as b from page_facts),
+ hd as (select page_id, ks, upper(left(ks[1], 1)) || ks[1][2:] as head, case when b <> '' then ' | ' || upper(left(b, 1)) || lower(b[2:]) else '' end as tail from ks join br using (page_id)),
+ ch as (select page_id, n, head || case when n > 0 then ' - ' || array_to_string(ks[2:n + 1], ', ') else '' end || tail as title from (select *, unnest(generate_series(0, len(ks) - 1)) as n from hd))
+ select page_id, title from ch where n = 0 or length(title) <= 60 qualify row_number() over (partition by page_id order by n desc) = 1""",
     "missing_questions": f"""with h as (select {S.site('url')} as site, url, text from headings where level <= 3 and text is not null), q as (select distinct site, lower(trim(both ' ' from text)) as q from h where contains(text, '?') and length(trim(both ' ' from text)) > 8),
  e as (select site, q from q qualify row_number() over (partition by site order by q) <= 10), o as (select site, url, lower(array_to_string(list_sort(list(distinct text)), ' . ')) as own from h group by 1, 2),
  m as (select site, url, q from o join e using (site) where not contains(own, left(q, 20)) qualify row_number() over (partition by site, url order by q) <= 6) select site, url, string_agg(q, '|' order by q) as questions from m group by 1, 2""",

@@ -382,3 +382,9 @@ def test_release(spark):
     lineage.release(spark)
     df = lineage.stored(spark.range(3), "kept")
     assert df.count() == 3 and lineage.release(spark) == 1 and lineage.release(spark) == 0
+
+
+def test_every_rule_has_advice():
+    from siteloom.operators import rules
+
+    assert {r.id for r in rules.PAGE_RULES} <= set(crawl.RULE_ADVICE) and {r.category for r in rules.PAGE_RULES} <= set(crawl.CATEGORY_ADVICE)
