@@ -165,6 +165,23 @@ def test_cannibal_members(spark):
     assert got == {(1, 1, 1), (2, 1, 1), (3, 3, 1), (5, 5, 0)}
 
 
+def test_frequent_items_meet_together(spark, monkeypatch):
+    rng = random.Random(3)
+    sets = [(i, [1000 + i, 2000 + i, *rng.sample(range(12), rng.randint(1, 6))]) for i in range(150)] + [(200 + i, rng.sample(range(8), rng.randint(1, 7))) for i in range(150)]
+    sets = list({tuple(sorted(x)): (i, x) for i, x in sets}.values())
+    d = spark.createDataFrame(sets, "class_id long, items array<long>")
+    for least, at in ((0.3, 2), (0.6, 2), (0.6, 64)):
+        want = {(i, j) for (i, x), (j, y) in itertools.permutations(sets, 2) if i < j and len({*x} & {*y}) >= least * len({*x} | {*y})}
+        monkeypatch.setattr(similarity, "HOT_KEY", at)
+        assert {(r.a, r.b) for r in similarity.jaccard_pairs(d, least).collect()} == want
+    # pages of one product: its word and four of its line's words are not enough, so they don't meet in the product's word alone
+    many = spark.createDataFrame([(i, [2000 + i, 6000 + i, 0, *range(1 + 4 * (i % 50), 5 + 4 * (i % 50))]) for i in range(1000)], "class_id long, items array<long>")
+    counted = many.select("class_id", F.size("items").alias("n"), F.array_sort("items").alias("items"), F.lit(0).cast("long").alias("marks"))
+    freq = F.transform("items", lambda x: F.when(x > 999, 0).when(x == 0, 1).otherwise(2) * 10_000 + x)  # the product's word right behind the rare ones
+    keys = similarity._prefix_keys(counted.withColumn("items", F.array_sort(freq)), 0.6)
+    assert keys.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] < 100_000
+
+
 def test_topics(spark):
     t = spark.createDataFrame([("s", "a", 1, 100, False, 0.0), ("s", "b", 3, 900, False, 0.2), ("s", "c", 4, 900, True, 0.9)], "site string, topic string, size long, avg_words long, has_pillar boolean, interlink double")
     assert {(r.topic, r.kind) for r in topics.gaps(t).collect()} == {("a", "thin"), ("b", "pillar"), ("b", "interlink")}
