@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import text as X
 from ..functions.urls import path_of, site_of
+from ..plans.lineage import stored
 from ..plans.topk import top
 
 #: Documents that a cluster task unpacks at a time; the result does not depend on it.
@@ -147,16 +150,56 @@ def completeness(terms: DataFrame, share: float = 0.4, most: int = 30, missing:
     )
 
 
+def _overlaps(sets: DataFrame, others: DataFrame, block: int = 2048) -> DataFrame:
+    """``id, ours, both, either`` of ``sets(id, v, n)`` and ``others(id, v, n)``, v arrays of different longs: for each set and block of others the one with the
+    largest share both / either (to six places; ties: least id), if they have anything in common; either is n + n - both."""
+    def blocks(d, p):
+        parts = max(1, -(-d.count() // block))
+        return parts, stored(d.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("b")).agg(*[F.collect_list(c).alias(p + c) for c in ("id", "v", "n")]).drop("b"), "gap-blocks")
+
+    a_kind, b_kind = (dict(d.dtypes)["id"] for d in (sets, others))
+    (parts, left), (_, right) = blocks(sets, "a_"), blocks(others, "b_")
+
+    def run(frames):
+        for f in frames:
+            for i in range(f.num_rows):
+                a_id, a_v, a_n, b_id, b_v, b_n = (f.column(c)[i].as_py() for c in ("a_id", "a_v", "a_n", "b_id", "b_v", "b_n"))
+                order = sorted(range(len(b_id)), key=b_id.__getitem__)
+                size = np.array([b_n[j] for j in order])
+                at = np.repeat(np.arange(len(order)), [len(b_v[j]) for j in order])
+                words = np.array([x for j in order for x in b_v[j]], np.int64)
+                by = np.argsort(words, kind="stable")
+                keys, first = np.unique(words[by], return_index=True)
+                lists = dict(zip(keys.tolist(), np.split(at[by], first[1:]), strict=True))
+                out = []
+                for name, v, n in zip(a_id, a_v, a_n, strict=True):
+                    if found := [lists[x] for x in v if x in lists]:
+                        both = np.bincount(np.concatenate(found), minlength=len(order))
+                        k = int(np.argmax(np.floor(both / (size + n - both) * 1e6 + 0.5)))
+                        out.append((name, b_id[order[k]], int(both[k]), int(size[k] + n - both[k])))
+                cols = list(zip(*out, strict=True)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], f.schema.field("a_id").type.value_type), pa.array(cols[1], f.schema.field("b_id").type.value_type), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["id", "ours", "both", "either"])
+
+    met = left.repartition(min(parts, 1000)).crossJoin(right)
+    return met.mapInArrow(run, f"id {a_kind}, ours {b_kind}, both long, either long")
+
+
 def content_gap(theirs: DataFrame, ours: DataFrame, least: float = dims.GAP_JACCARD) -> DataFrame:
     """``topic, best, similarity, kind``: each of their topics with our most similar one; below ``least`` it is missing.
 
-    Both sides ``topic, words`` (arrays). Topics of the same words are compared once. Found by equi-join on words: topics
-    that share none have similarity 0.
+    Both sides ``topic, words`` (arrays). Topics of the same words are compared once, and so are those that have as many words and the same
+    ones of those that both sides know. The overlaps are counted block by block, so only the best of a block is a row.
     """
-    sets = lambda d, name: d.groupBy(F.array_sort(F.array_distinct("words")).alias("w")).agg(F.min("topic").alias(name))
-    t, o = sets(theirs, "topic"), sets(ours, "ours").withColumnRenamed("w", "ow")
-    met = t.select("topic", F.size("w").alias("n"), F.explode("w").alias("x")).join(o.select("ours", F.size("ow").alias("m"), F.explode("ow").alias("x")), "x").groupBy("topic", "ours", "n", "m").agg(F.count("*").alias("both"))
-    best = top(met.withColumn("similarity", F.round(F.col("both") / (F.col("n") + F.col("m") - F.col("both")), 6)), ["topic"], [F.desc("similarity"), F.col("ours")], 1)
+    sets = lambda d, name: stored(d.groupBy(F.array_sort(F.array_distinct("words")).alias("w")).agg(F.min("topic").alias(name)), "gap-sets")
+    t, o = sets(theirs, "topic"), sets(ours, "ours")
+    each = lambda d, name: d.select(name, F.size("w").alias("n"), F.explode("w").alias("x"))
+    known = lambda d, name, other: d.join(other.select("x").distinct(), "x", "left_semi").groupBy(name, "n").agg(F.array_sort(F.collect_list(F.xxhash64("x"))).alias("v"))
+    tx, ox = each(t, "topic"), each(o, "ours")
+    kt = stored(known(tx, "topic", ox), "gap-topics")
+    reps = stored(kt.groupBy("v", "n").agg(F.min("topic").alias("id")), "gap-classes")
+    mine = stored(known(ox, "ours", tx).groupBy("v", "n").agg(F.min("ours").alias("id")), "gap-classes")
+    best = top(_overlaps(reps, mine).withColumn("similarity", F.round(F.col("both") / F.col("either"), 6)), ["id"], [F.desc("similarity"), F.col("ours")], 1)
+    best = kt.join(reps, ["v", "n"]).join(best, "id").select("topic", "ours", "similarity")
     s = F.coalesce("similarity", F.lit(0.0))
     named = theirs.select("topic", F.array_sort(F.array_distinct("words")).alias("w")).join(t.withColumnRenamed("topic", "same"), "w")
     return named.join(best.select(F.col("topic").alias("same"), "ours", "similarity"), "same", "left").select("topic", F.when(s >= least, F.col("ours")).alias("best"), s.alias("similarity"), F.when(s < least, "missing").otherwise("covered").alias("kind"))

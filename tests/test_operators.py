@@ -198,6 +198,21 @@ def test_common_words_are_scored_once(spark, monkeypatch):
     assert {tuple(r) for r in tokens.collect()} == {tuple(r) for r in keywords.profile(pages).select("page_id", "token", "weight").collect()}
 
 
+def test_content_gap_by_blocks(spark):
+    rng = random.Random(4)
+    some = lambda at: [(at + i, [*rng.sample("abcdefgh", rng.randint(0, 4)), *[f"w{rng.randint(0, 60)}" for _ in range(2)], f"{at}"]) for i in range(60)]
+    theirs, ours = some(1000), some(2000)
+    want = {}
+    for t, w in theirs:
+        of = [(-round(len({*w} & {*v}) / len({*w} | {*v}), 6), o) for o, v in ours]
+        want[t] = (-min(of)[0], min(of)[1] if -min(of)[0] >= 0.3 else None)
+    t, o = (spark.createDataFrame(x, "topic long, words array<string>") for x in (theirs, ours))
+    assert {r.topic: (r.similarity, r.best) for r in topics.content_gap(t, o, 0.3).collect()} == want
+    sets = lambda x: spark.createDataFrame([(i, len(w), [hash(v) for v in {*w}]) for i, w in x], "id long, n int, v array<long>")
+    found = topics._overlaps(sets(theirs), sets(ours), 16)
+    assert found.groupBy("id").count().agg(F.max("count")).first()[0] <= 4  # a row a block, not one for each pair
+
+
 def test_topics(spark):
     t = spark.createDataFrame([("s", "a", 1, 100, False, 0.0), ("s", "b", 3, 900, False, 0.2), ("s", "c", 4, 900, True, 0.9)], "site string, topic string, size long, avg_words long, has_pillar boolean, interlink double")
     assert {(r.topic, r.kind) for r in topics.gaps(t).collect()} == {("a", "thin"), ("b", "pillar"), ("b", "interlink")}
