@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siteloom import dims
 from siteloom.functions import text as X
 from siteloom.functions import urls as U
-from siteloom.operators import content, crawl, extract, graph, history, ir, keywords, scoring, similarity, site, topics, views
+from siteloom.operators import content, crawl, extract, graph, history, ir, keywords, scoring, similarity, site, sparse, topics, views
 from siteloom.plans.skew import lookup
 from siteloom.plans.topk import examples
 from siteloom.sources import exports, external, robots, sitemaps
@@ -183,6 +183,27 @@ def test_frequent_items_meet_together(spark, monkeypatch):
     assert keys.groupBy("key").count().agg(F.sum(F.col("count") * F.col("count"))).first()[0] < 100_000
 
 
+@pytest.mark.parametrize("parts, block, k", [(20_000, 2048, 4), (40, 50, 3), (1, 7, 400)])
+def test_similar_in_blocks(spark, monkeypatch, parts, block, k):
+    monkeypatch.setattr(sparse, "COMMON_PARTS", parts)  # most terms are common, some are, none is
+    monkeypatch.setattr(sparse, "DOC_BLOCK", block)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(10, 50)]
+    rows = [(i, " ".join([*rng.choices(words, k=rng.randint(0, 30)), f"rare{i % 70}"])) for i in range(300)]
+    rows += [(5, "w10 w11 apart"), (10, "w12"), (301, rows[20][1]), (302, rows[20][1]), (303, ""), (304, None), (None, "w10 w13"), (None, "w10 rare5")]
+    docs = spark.createDataFrame(rows, "id long, t string").repartition(3)
+    vectors = {}
+    for r in ir.tfidf(docs, "id", F.col("t")).collect():
+        vectors.setdefault(r.doc, {})[r.term] = r.weight
+    want = set()
+    for q in vectors:
+        if q is not None and q % 5 == 0:
+            cos = [(-round(sum(w * vectors[d].get(t, 0) for t, w in vectors[q].items()), 6), d) for d in vectors if d not in (None, q)]
+            want |= {(q, d, -c) for c, d in sorted(x for x in cos if -x[0] >= 0.1)[:k]}
+    got = {(r.query, r.doc, round(r.cosine, 6)) for r in sparse.similar(docs, "id", F.col("t"), F.col("doc") % 5 == 0, k, 0.1).collect()}
+    assert len(want) > 150 and got == want
+
+
 def test_stems_in_python(spark):
     odd = ["Żółte ŁÓDKI, buty-zimowe i oraz do lampami 3dowego x1 ab", "İstanbul Größe \u212belvin \u212ailo ſtill naïve ÓW", "", None, "  \t\n", "jak1owie że\u00a0co ＡＢＣ owego \U0001f600kotami", "the andowi dla-dla kotach mapa"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "id long, t string")
